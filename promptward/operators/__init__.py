@@ -1,0 +1 @@
+"""DataFrame operators: a DataFrame in, a DataFrame out."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptward.functions import injection as fx
+from promptward.functions.fence import fence
 from promptward.rules import KEYWORDS, RULES, Keyword, Rule
 
 
@@ -34,7 +35,8 @@ def with_signals(
     df = df.withColumns(found)
 
     df = df.withColumn("_signals", fx.signals_in_order(names, rules, keywords))
-    return df.drop(*shared.values(), *names.values(), *([lower] if own_lower else []))
+    df = df.drop(*shared.values(), *names.values(), *([lower] if own_lower else []))
+    return fence(df, ["_signals"])
 
 
 def injection_signals(

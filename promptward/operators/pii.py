@@ -9,6 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptward.functions.fence import fence
 from promptward.functions.pii import (
     HIT_TYPE,
     PiiPattern,
@@ -42,7 +43,8 @@ def with_pii_hits(
         "_pii_hits",
         F.when(total > 0, hits_of(paired, patterns)).otherwise(F.array().cast(f"array<{HIT_TYPE}>")),
     )
-    return df.drop(*values.values(), *(["_lower"] if lower == "_lower" else []))
+    df = df.drop(*values.values(), *(["_lower"] if lower == "_lower" else []))
+    return fence(df, ["_pii_hits"])
 
 
 def with_masked_text(

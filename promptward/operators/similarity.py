@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptward.functions import similarity as fx
+from promptward.functions.fence import fence
 from promptward.rules import DEFAULT_THRESHOLD
 
 
@@ -49,7 +50,8 @@ def with_vector_check(
     """Add ``_vector``: the best seed, its rounded score and whether it triggered."""
     df = with_seed_scores(df, text, seeds, lower)
     df = df.withColumn("_best", fx.best_seed(F.col("_scores")))
-    return df.withColumn("_vector", fx.vector_check(F.col("_best"), threshold)).drop("_scores", "_best")
+    df = df.withColumn("_vector", fx.vector_check(F.col("_best"), threshold)).drop("_scores", "_best")
+    return fence(df, ["_vector"])
 
 
 def vector_check(

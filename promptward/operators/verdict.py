@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from promptward.functions import injection as inj
 from promptward.functions import risk
+from promptward.functions.fence import fence
 from promptward.functions.pii import PiiPattern
 from promptward.functions.similarity import Seed
 from promptward.operators.injection import with_signals
@@ -58,7 +59,7 @@ def scan(
     )
     flags = F.col("_has_injection"), F.col("_has_pii"), F.col("_triggered")
     df = df.withColumn("risk_level", risk.risk_level(F.col("_severity"), flags[1], flags[2]))
-    return df.select(
+    df = df.select(
         *kept,
         "risk_level",
         risk.attack_type(*flags).alias("attack_type"),
@@ -71,6 +72,7 @@ def scan(
             "triggered_rules"
         ),
     )
+    return fence(df, VERDICT_COLUMNS)
 
 
 def stage_status(verdicts: DataFrame, id_col: str = "id") -> DataFrame:

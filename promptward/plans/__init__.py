@@ -1,0 +1 @@
+"""Registered queries, the data they run on and their SQL counterparts."""

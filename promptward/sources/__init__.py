@@ -1,0 +1 @@
+"""Tables in and out."""
