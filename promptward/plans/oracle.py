@@ -565,6 +565,25 @@ def oracle_sql() -> dict[str, str]:
         "confusion_matrix": _verdicts(
             "SELECT expected_risk, risk_level AS actual_risk, count(*) AS texts FROM verdicts GROUP BY ALL"
         ),
+        "stream_scan": _verdicts(
+            """SELECT doc_id, risk_level, attack_type, blocked, triggered, similarity_score, closest_seed, masked_prompt
+               FROM verdicts"""
+        ),
+        "route_stream": _verdicts(
+            """SELECT 'passed' AS output, count(*) FILTER (NOT blocked) AS rows FROM verdicts
+               UNION ALL SELECT 'blocked', 2 * count(*) FILTER (blocked) FROM verdicts
+               UNION ALL SELECT 'audit', count(*) FROM verdicts"""
+        ),
+        # The last hours stay open until the watermark, one hour behind, has passed them.
+        "stream_timeline": _audit(
+            """SELECT hour_start, count(*) AS total, count(*) FILTER (blocked) AS blocked
+               FROM (SELECT date_trunc('hour', timestamp) AS hour_start, blocked FROM audit)
+               WHERE hour_start + INTERVAL 2 HOUR <= (SELECT t FROM now) GROUP BY hour_start"""
+        ),
+        "stream_session_threats": _audit(
+            "SELECT session_id, threat_count, blocked_count, total FROM ranking", _RANKING
+        ),
+        "stream_dedup": _audit("SELECT DISTINCT prompt_hash, risk_level FROM audit"),
     }
     return sql
 

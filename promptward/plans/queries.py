@@ -21,6 +21,8 @@ from promptward.operators import report as rep
 from promptward.operators import similarity as sim
 from promptward.operators import verdict as vd
 from promptward.plans import planted as pl
+from promptward.sources.tables import DOCUMENTS_SCHEMA, EVENTS_SCHEMA, read_table_stream
+from promptward.streaming import jobs as sj
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -390,3 +392,80 @@ def detector_eval(spark, sf_dir):
 @query
 def confusion_matrix(spark, sf_dir):
     return ev.confusion_matrix(vd.scan(pl.planted_corpus(spark, sf_dir)))
+
+
+# --- streams ----------------------------------------------------------------
+# Each runs over all files available now, into a folder that is then read.
+
+
+def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table_stream(spark, sf_dir, DOCUMENTS_SCHEMA, glob="documents.parquet")
+
+
+def _audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they arrive, each with the stored verdict of its document."""
+    docs = pl.documents(spark, sf_dir)
+    events = read_table_stream(spark, sf_dir, EVENTS_SCHEMA, glob="events.parquet")
+    verdicts = vd.scan(pl.plant(docs))
+    return au.to_audit(pl.link_events(events, docs).join(verdicts, "doc_id"))
+
+
+def _to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    spark = stream.sparkSession
+    out, checkpoint = sj.new_run(spark, name)
+    sj.start_parquet(stream, out, checkpoint, mode).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def stream_scan(spark, sf_dir):
+    verdicts = sj.stream_scan(pl.plant(_document_stream(spark, sf_dir)))
+    rows = verdicts.select(
+        "doc_id", "risk_level", "attack_type", "blocked", "vector_check.*", "masked_prompt"
+    )
+    return _to_table(rows, "stream_scan")
+
+
+@query
+def route_stream(spark, sf_dir):
+    """Rows per output of the router."""
+    prompts = pl.plant(_document_stream(spark, sf_dir)).select(
+        "doc_id",
+        "text",
+        F.concat(F.lit("User-"), F.col("source")).alias("session_id"),
+        F.timestamp_seconds("doc_id").alias("ts"),
+        F.length("text").alias("latency_ms"),
+    )
+    out, checkpoint = sj.new_run(spark, "route_stream")
+    sj.route_stream(sj.stream_scan(prompts), out, checkpoint).start().awaitTermination()
+    counts = [
+        spark.read.parquet(f"{out}/{name}").agg(F.count("*").alias("rows")).select(F.lit(name).alias("output"), "rows")
+        for name in ("passed", "blocked", "audit")
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query
+def stream_timeline(spark, sf_dir):
+    return _to_table(sj.stream_timeline(_audit_stream(spark, sf_dir)), "stream_timeline")
+
+
+@query
+def stream_session_threats(spark, sf_dir):
+    counts = sj.stream_session_threats(_audit_stream(spark, sf_dir))
+    out, checkpoint = sj.new_run(spark, "stream_session_threats")
+    (
+        counts.writeStream.outputMode("complete")
+        .foreachBatch(sj.ranking_batch(out))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return spark.read.parquet(out)
+
+
+@query
+def stream_dedup(spark, sf_dir):
+    kept = sj.stream_dedup(_audit_stream(spark, sf_dir))
+    return _to_table(kept, "stream_dedup").select("prompt_hash", "risk_level")

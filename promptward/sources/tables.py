@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 CONVERSATIONS_SCHEMA = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
 DOCUMENTS_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+EVENTS_SCHEMA = (
+    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+)
 AUDIT_SCHEMA = (
     "id STRING, timestamp TIMESTAMP, prompt_hash STRING, masked_prompt STRING, "
     "risk_level STRING, attack_type STRING, latency INT, model_used STRING, blocked BOOLEAN, "

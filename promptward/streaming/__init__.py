@@ -1,0 +1 @@
+"""The scan and its analytics on streams."""
