@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,13 +65,17 @@ def to_audit(
     )
 
 
-def recent_audit(audit: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+def instant(as_of: Column | datetime) -> Column:
+    return as_of if isinstance(as_of, Column) else F.lit(as_of)
+
+
+def recent_audit(audit: DataFrame, as_of: Column | datetime, hours: int = 24) -> DataFrame:
     """The columns dashboards need of the rows of the last hours, both ends included.
 
     The table is read back by day, so where it has a ``dt`` partition column the
     same bound is put on it and older files are not listed.
     """
-    since = as_of - F.expr(f"INTERVAL {int(hours)} HOURS")
+    since = instant(as_of) - F.expr(f"INTERVAL {int(hours)} HOURS")
     rows = audit.filter(F.col("timestamp") >= since)
     if "dt" in audit.columns:
         rows = rows.filter(F.col("dt") >= F.to_date(since))

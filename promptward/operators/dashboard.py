@@ -1,16 +1,18 @@
 """Dashboard aggregates over the audit table.
 
-``as_of`` is a timestamp column expression: a literal, so that the time bound is
-pushed into the scan, or a scalar subquery.
+``as_of`` is a time, so that the bound is pushed into the scan, or a column
+expression such as a scalar subquery.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptward.functions.scalars import half_up, percentage, session_label, severity_band
-from promptward.operators.audit import recent_audit
+from promptward.operators.audit import instant, recent_audit
 from promptward.rules import (
     ATTACK_COMBINED,
     ATTACK_NONE,
@@ -23,7 +25,7 @@ from promptward.rules import (
 )
 
 
-def hourly_timeline(audit: DataFrame, as_of: Column) -> DataFrame:
+def hourly_timeline(audit: DataFrame, as_of: Column | datetime) -> DataFrame:
     """24 hourly slots, oldest first, with all and blocked rows, zero where empty.
 
     Rows go to the slot of their hour of day, so the part of an hour that lies
@@ -39,7 +41,7 @@ def hourly_timeline(audit: DataFrame, as_of: Column) -> DataFrame:
     slots = (
         audit.sparkSession.range(TIMELINE_HOURS)
         .select(F.col("id").cast("int").alias("slot"))
-        .select("slot", F.hour(as_of - ago).alias("_hour"))
+        .select("slot", F.hour(instant(as_of) - ago).alias("_hour"))
     )
     hour = F.format_string("%02d:00", F.col("_hour"))
     return (
@@ -60,7 +62,7 @@ def _attack_types(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.posexplode(names).alias("ord", "name"))
 
 
-def attack_breakdown(audit: DataFrame, as_of: Column) -> DataFrame:
+def attack_breakdown(audit: DataFrame, as_of: Column | datetime) -> DataFrame:
     """Rows per attack type of the last 24 hours; all four types in fixed order."""
     counted = (
         recent_audit(audit, as_of)
@@ -76,7 +78,7 @@ def attack_breakdown(audit: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def attack_share(audit: DataFrame, as_of: Column) -> DataFrame:
+def attack_share(audit: DataFrame, as_of: Column | datetime) -> DataFrame:
     """Shares of the attack types that occurred; small ones are not labelled."""
     present = attack_breakdown(audit, as_of).filter(F.col("value") > 0)
     share = F.col("value") / F.sum("value").over(Window.partitionBy())
@@ -87,7 +89,7 @@ def attack_share(audit: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def risk_distribution(audit: DataFrame, as_of: Column) -> DataFrame:
+def risk_distribution(audit: DataFrame, as_of: Column | datetime) -> DataFrame:
     """Rows per risk level of the last 24 hours."""
     return recent_audit(audit, as_of).groupBy("risk_level").agg(F.count("*").alias("rows"))
 
@@ -127,7 +129,7 @@ def session_ranking(audit: DataFrame, top: int = RANKED_SESSIONS) -> DataFrame:
     )
 
 
-def summary_metrics(audit: DataFrame, as_of: Column) -> DataFrame:
+def summary_metrics(audit: DataFrame, as_of: Column | datetime) -> DataFrame:
     """One row of headline numbers; zero for an empty table.
 
     The 24-hour part reads few columns of few files; the all-time count reads none.
