@@ -2,50 +2,53 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from promptward.functions.keys import TextKeys, holds
 from promptward.functions.patterns import rule_regex
 from promptward.functions.scalars import risk_rank, sql_str
 from promptward.rules import KEYWORDS, MATCHED_CHARS, RISK_RANK, RULES, Keyword, Rule
 
 SIGNAL_TYPE = "struct<layer:string,rule_name:string,description:string,severity:string,matched:string>"
 
-# Literals that every match of a pattern contains, in lower case: all lines of a
-# pattern must hold, each by any of its words.  Searching a literal is several
-# times cheaper than the regex, and most texts hold none of them.
+# What every match of a pattern holds, in lower case: all lines of a pattern must
+# hold, each by any of its words.  ``~word`` asks for the word on its own, bounded
+# by anything but letters and digits, and costs a look into a small array; other
+# literals are searched.  Either is far cheaper than the regex, and most texts
+# hold none of them.
+_PERSONAS = "evil malicious unrestricted unethical harmful uncensored".split()
 ANCHORS: dict[str, tuple[tuple[str, ...], ...]] = {
     "ROLE_OVERRIDE": (
-        ("ignore", "instruction|rule|context|prompt"),
+        ("~previous|~prior|~above|~earlier", "ignore"),
         ("forget",),
-        ("unrestricted|jailbroken|evil|malicious|unfiltered|dan", "now", "you"),
-        ("anything",),
-        ("restriction|limitation|rule|guideline", "act"),
+        ("~now", "~are", "dan|unrestricted|jailbroken|evil|malicious|unfiltered"),
+        ("~anything",),
+        ("~as", "~if|~without", "restriction|limitation|rule|guideline"),
         ("忽略",),
         ("你现在",),
     ),
     "SYSTEM_PROMPT_EXTRACTION": (
-        ("prompt|instruction|context|training", "system|initial|hidden|full|training"),
-        ("instruction|rule|prompt|configuration", "what", "your"),
-        ("repeat",),
-        ("translate", "everything"),
-        ("output",),
+        ("~system|~initial|~hidden|~full|~training", "prompt|instruction|context|data"),
+        ("~your", "~are|~is", "instruction|rule|prompt|configuration"),
+        ("~everything|~all|~your", "repeat"),
+        ("~everything", "translate"),
+        ("~above|~everything|~prior", "output"),
     ),
     "PRIVILEGE_ESCALATION": (
         ("mode|access|override", "developer|admin|sudo|root|superuser|privileged|god|maintenance"),
         ("disable",),
-        (
-            "safety|filter|restriction|guideline|limit",
-            "turn|bypass|circumvent|override|disable|remove",
-        ),
-        ("unlock",),
+        ("bypass|circumvent|override|disable|remove|~off", "safety|filter|restriction|guideline|limit"),
+        ("~all|~unrestricted|~full|~hidden", "unlock"),
     ),
     "INDIRECT_INJECTION": (
-        ("when", "this", "you", "read|process|see|encounter"),
-        ("instruction|directive|objective|goal", "new|updated|revised|override"),
+        ("~read|~process|~see|~encounter", "~this", "~you"),
+        (
+            "~instruction|~instructions|~directive|~directives|~objective|~objectives|~goal|~goals",
+            "new|updated|revised|override",
+        ),
         ("inst]|<|",),
         ("###",),
         ("---|===", "system|instruction|override"),
@@ -55,55 +58,59 @@ ANCHORS: dict[str, tuple[tuple[str, ...], ...]] = {
         ("-rf|c:|table|shutdown|del",),
         ("exec|eval|subprocess|os.system|__import__",),
         ("`|$(",),
-        ("import", "os|subprocess"),
+        ("import",),
     ),
     "DATA_EXFILTRATION": (
-        ("external|remote|http", "data|information|content|secret"),
+        ("~data|~information|~content|~contents|~secret|~secrets", "~to", "external|remote|http"),
         ("http", "curl|wget|http.get|axios|fetch"),
-        ("webhook", "http"),
+        ("~webhook", "http"),
     ),
     "DELIMITER_SMUGGLING": (
-        ("message|prompt|conversation", "end|begins"),
-        ("<", ">", "system|instruction|context|prompt|task"),
-        ("[end",),
-        ("instruction|follow|task", "stop|halt|reset|end"),
+        ("~system|~instruction|~context|~conversation", "message|prompt|begins"),
+        ("~system|~instruction|~context|~prompt|~task", "<"),
+        ("~end", "~system|~instruction|~prompt", "[end"),
+        ("~new|~follow|~task", "stop|halt|reset|end"),
     ),
     "ROLEPLAY_BYPASS": (
-        ("evil|malicious|unrestricted|unethical|harmful|uncensored",),
+        # The persona may follow "you" or "are" without a blank.
+        ("|".join(f"~{before}{w}" for before in ("", "you", "are") for w in _PERSONAS),),
         (
+            "~how|~describe|~explain",
+            "hypothetically|fictionall|~story|~novel|~game",
             "hack|kill|poison|exploit|attack|synthesize|manufacture",
-            "hypothetically|fictionall|story|novel|game",
         ),
-        ("purposes",),
-        ("restriction|limitation|rule|guideline|filter", "you"),
-        ("anything",),
+        ("~purposes",),
+        ("~no", "~have|~with", "restriction|limitation|rule|guideline|filter"),
+        ("~anything",),
     ),
     "SYSTEM_RESET_LOGIC": (
         (
             "reset|reinitialize|restart|clear|wipe",
             "memory|context|instruction|training|system|configuration",
         ),
-        ("start|session|initialize", "fresh|over|scratch|begin|instance|session"),
-        ("now|henceforth|forward", "you|act|behave"),
+        ("start|~session|initialize", "fresh|over|scratch|begin|instance|session"),
+        ("~now|henceforth|~forward", "~you|~act|~behave|~your"),
     ),
 }
 _LITERAL_BARS = {"inst]|<|": ("inst]", "<|")}
 
 KEYWORD_ANCHORS = {
     "KW_DAN_MODE": "mode",
-    "KW_IGNORE_PREV": "ignore",
-    "KW_DAN_VARIANT": "anything",
+    "KW_IGNORE_PREV": "~previous",
+    "KW_DAN_VARIANT": "~anything",
     "KW_NO_RESTRICT": "restriction",
     "KW_SYSTEM_PROMPT": "prompt",
-    "KW_TRANSLATE_ABOVE": "everything",
+    "KW_TRANSLATE_ABOVE": "~everything",
     "KW_DEV_MODE": "mode",
     "KW_GOD_MODE": "mode",
     "KW_OVERRIDE_INST": "override",
     "KW_INITIAL_PROMPT": "prompt",
-    "KW_BYPASS_SAFETY": "safety",
+    "KW_BYPASS_SAFETY": "bypass",
+    "KW_PRETEND": "~you",
+    "KW_ACT_AS_IF": "~as",
     "KW_NO_LIMIT": "limitation",
     "KW_WITHOUT_LIMIT": "limitation",
-    "KW_FORGET_ALL": "everything",
+    "KW_FORGET_ALL": "forget",
     "KW_CN_IGNORE": "忽略",
 }
 
@@ -112,21 +119,31 @@ def _words(line: str) -> tuple[str, ...]:
     return _LITERAL_BARS.get(line) or tuple(line.split("|"))
 
 
-def shared_anchors() -> tuple[str, ...]:
-    """Anchor words asked for more than once; worth computing as columns."""
-    uses = Counter(w for pats in ANCHORS.values() for p in pats for line in p for w in _words(line))
-    uses.update(KEYWORD_ANCHORS.values())
-    return tuple(sorted(w for w, n in uses.items() if n > 1))
+def _asked() -> list[str]:
+    lines = [w for pats in ANCHORS.values() for p in pats for line in p for w in _words(line)]
+    return lines + list(KEYWORD_ANCHORS.values())
+
+
+def whole_words() -> tuple[str, ...]:
+    """Words asked for on their own."""
+    return tuple(sorted({w[1:] for w in _asked() if w.startswith("~")}))
+
+
+# Asked for first by more than one pattern or keyword, so worth a column each;
+# what else occurs twice is mostly not reached.
+SHARED = ("disable", "eval", "exec", "forget", "http", "limitation", "mode", "override", "prompt", "restriction")
 
 
 class Anchors:
-    """Conditions on the lower-cased text, through shared columns where given."""
+    """Conditions on a text: ``present`` names the column with its whole words."""
 
-    def __init__(self, lower: str, columns: dict[str, str]) -> None:
-        self._lower, self._columns = lower, columns
+    def __init__(self, keys: TextKeys, present: str, columns: dict[str, str]) -> None:
+        self._keys, self._present, self._columns = keys, present, columns
 
     def has(self, word: str) -> str:
-        return self._columns.get(word) or f"contains({self._lower}, {sql_str(word)})"
+        if word.startswith("~"):
+            return f"array_contains({self._present}, {sql_str(word[1:])})"
+        return self._columns.get(word) or holds(self._keys, word)
 
     def allow(self, pattern: Sequence[str]) -> str:
         lines = ["(" + " OR ".join(self.has(w) for w in _words(line)) + ")" for line in pattern]
@@ -147,13 +164,12 @@ def rule_match(text: str, rule: Rule, anchors: Anchors) -> Column:
     return F.expr(f"substring(coalesce({', '.join(tries)}), 1, {MATCHED_CHARS})")
 
 
-def keyword_match(text: str, lower: str, keyword: Keyword, anchors: Anchors) -> Column:
+def keyword_match(text: str, keys: TextKeys, keyword: Keyword, anchors: Anchors) -> Column:
     """The text at the first case-insensitive occurrence of a keyword, else NULL."""
-    needle = sql_str(keyword.text.lower())
-    held = f"contains({lower}, {needle})"
+    held = holds(keys, keyword.text.lower())
     if keyword.name in KEYWORD_ANCHORS:
         held = f"{anchors.has(KEYWORD_ANCHORS[keyword.name])} AND {held}"
-    at = f"instr({lower}, {needle})"
+    at = f"instr({keys.lower}, {sql_str(keyword.text.lower())})"
     return F.expr(f"CASE WHEN {held} THEN substring({text}, {at}, {len(keyword.text)}) END")
 
 

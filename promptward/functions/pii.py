@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
-from operator import add, or_
+from operator import add
 from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from promptward.functions.arrays import bind, emitting_fold, text_blocks, text_span
+from promptward.functions.keys import TextKeys
 from promptward.functions.patterns import BLANKS, java_regex, pii_regex
 from promptward.rules import ID_CHECK_CHARS, ID_WEIGHTS, PII_TYPES
 
@@ -20,15 +21,16 @@ HIT_TYPE = "struct<type:string,value:string,masked:string,start:int,end:int>"
 class PiiPattern(NamedTuple):
     """One kind of personal data.
 
-    ``guard(text, lower)`` is a cheap condition that holds for every text with a
-    match; the regex runs only where it does.  ``lower`` is the lower-cased text.
-    ``valid`` drops matches that fail a check.
+    ``guard`` is a cheap SQL condition that holds for every text with a match; the
+    regex runs only where it does.  In it ``{text}`` stands for the text and
+    ``{vocab}`` for its distinct lower-case words.  ``valid`` drops matches that
+    fail a check.
     """
 
     type: str
     regex: str
     mask: Callable[[Column], Column]
-    guard: Callable[[Column, Column], Column] = lambda text, lower: F.lit(True)
+    guard: str = "true"
     valid: Callable[[Column], Column] | None = None
 
 
@@ -105,25 +107,32 @@ def _mask_password(value: Column) -> Column:
     return bind(F.regexp_extract(value, head, 0), redact)
 
 
-_EIGHT_DIGITS = f"[0-9]{{4}}[{BLANKS}\\-]?[0-9]{{4}}"
+# A mobile number ends in two groups of four digits.
+_EIGHT_DIGITS = (
+    "rlike({vocab}, '[0-9]{{4}}') AND rlike({text}, '"
+    + f"[0-9]{{4}}[{BLANKS}\\-]?[0-9]{{4}}".replace("{", "{{").replace("}", "}}").replace("\\", "\\\\")
+    + "')"
+)
 
 
-def _may_hold_password(text: Column, lower: Column) -> Column:
-    return reduce(or_, [lower.contains(w) for w in ("pass", "pwd", "密码", "口令")])
+_PASSWORD_WORDS = (
+    "(contains({vocab}, 'pass') OR contains({vocab}, 'pwd')"
+    " OR contains({text}, '密码') OR contains({text}, '口令'))"
+)
 
 
 def builtin_patterns() -> tuple[PiiPattern, ...]:
     """The nine built-in kinds, in declared order."""
     parts = {
-        "PHONE_CN": (_mask_phone, lambda t, _: t.rlike(_EIGHT_DIGITS), None),
-        "ID_CARD_CN": (_mask_id, lambda t, _: t.rlike("[0-9]{17}"), id_checksum_ok),
-        "EMAIL": (_mask_email, lambda t, _: t.contains("@"), None),
-        "API_KEY_OPENAI": (_mask_openai, lambda t, _: t.contains("sk-"), None),
-        "API_KEY_AWS": (_mask_aws, lambda t, _: t.contains("AKIA"), None),
-        "API_KEY_GOOGLE": (_mask_google, lambda t, _: t.contains("AIza"), None),
-        "CREDIT_CARD": (_mask_card, lambda t, _: t.rlike("(?:[0-9][ \\-]?){13}[0-9]"), None),
-        "IP_ADDRESS": (_mask_ip, lambda t, _: t.rlike("[0-9]\\.[0-9]{1,3}\\.[0-9]"), None),
-        "PASSWORD_KV": (_mask_password, _may_hold_password, None),
+        "PHONE_CN": (_mask_phone, _EIGHT_DIGITS, None),
+        "ID_CARD_CN": (_mask_id, "rlike({vocab}, '[0-9]{{17}}')", id_checksum_ok),
+        "EMAIL": (_mask_email, "contains({text}, '@')", None),
+        "API_KEY_OPENAI": (_mask_openai, "contains({text}, 'sk-')", None),
+        "API_KEY_AWS": (_mask_aws, "contains({vocab}, 'akia')", None),
+        "API_KEY_GOOGLE": (_mask_google, "contains({vocab}, 'aiza')", None),
+        "CREDIT_CARD": (_mask_card, "rlike({text}, '[0-9](?:[ \\\\-]?[0-9]){{13}}')", None),
+        "IP_ADDRESS": (_mask_ip, "rlike({text}, '[0-9][.][0-9]{{1,3}}[.][0-9]')", None),
+        "PASSWORD_KV": (_mask_password, _PASSWORD_WORDS, None),
     }
     return tuple(
         PiiPattern(name, pii_regex(name), mask, guard, valid)
@@ -131,10 +140,11 @@ def builtin_patterns() -> tuple[PiiPattern, ...]:
     )
 
 
-def matched_values(text: Column, lower: Column, pattern: PiiPattern) -> Column:
+def matched_values(text: str, keys: TextKeys, pattern: PiiPattern) -> Column:
     """All matched strings of one kind, before validation."""
+    guard = pattern.guard.format(text=f"`{text}`", vocab=keys.vocabulary)
     return F.when(
-        pattern.guard(text, lower), F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0))
+        F.expr(guard), F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0))
     ).otherwise(F.array().cast("array<string>"))
 
 

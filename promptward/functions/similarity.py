@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from promptward.functions.arrays import bind
+from promptward.functions.keys import TextKeys
 from promptward.functions.scalars import sql_str, three_decimals
 from promptward.rules import BOOST_FACTOR, BOOST_TERMS, DEFAULT_THRESHOLD, SEEDS, STOPWORDS
 
@@ -46,10 +47,17 @@ def _in(word: str, words: Iterable[str]) -> str:
     return f"{word} IN ({', '.join(sql_str(w) for w in words)})"
 
 
-def tokens(lower: str) -> Column:
-    """Words of two or more letters or digits that are not stopwords."""
+def tokens(keys: TextKeys, seeds: tuple[Seed, ...]) -> Column:
+    """Words of two or more letters or digits that are not stopwords.
+
+    Empty where no seed has any of the words: the score is zero then, whatever
+    else the text holds.
+    """
+    seed_words = ", ".join(sql_str(w) for w in vocabulary(seeds))
     return F.expr(
-        f"filter(split({lower}, '[^a-z0-9]+'), w -> length(w) > 1 AND NOT {_in('w', STOPWORDS)})"
+        f"""IF(arrays_overlap({keys.distinct}, array({seed_words})),
+               filter({keys.words}, w -> length(w) > 1 AND NOT {_in('w', STOPWORDS)}),
+               CAST(array() AS array<string>))"""
     )
 
 

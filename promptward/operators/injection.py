@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from promptward.functions import injection as fx
 from promptward.functions.fence import fence
+from promptward.functions.keys import TextKeys, holds, with_text_keys
 from promptward.rules import KEYWORDS, RULES, Keyword, Rule
 
 
@@ -17,25 +18,30 @@ def with_signals(
     text: str = "text",
     rules: Sequence[Rule] = RULES,
     keywords: Sequence[Keyword] = KEYWORDS,
-    lower: str | None = None,
+    keys: TextKeys | None = None,
 ) -> DataFrame:
     """Add ``_signals``: rule and keyword signals by falling severity."""
-    own_lower = lower is None
-    if own_lower:
-        lower = "_lower"
-        df = df.withColumn(lower, F.lower(text))
-    shared = {w: f"_a{i}" for i, w in enumerate(fx.shared_anchors())}
-    df = df.withColumns({c: F.col(lower).contains(w) for w, c in shared.items()})
-    anchors = fx.Anchors(lower, shared)
+    own_keys = keys is None
+    if own_keys:
+        df, keys = with_text_keys(df, text)
+    shared = {w: f"_a{i}" for i, w in enumerate(fx.SHARED)}
+    asked = F.array(*[F.lit(w) for w in fx.whole_words()])
+    df = df.withColumns(
+        {
+            "_present": F.array_intersect(keys.distinct, asked),
+            **{c: F.expr(holds(keys, w)) for w, c in shared.items()},
+        }
+    )
+    anchors = fx.Anchors(keys, "_present", shared)
 
     names = {e.name: f"_m{i}" for i, e in enumerate((*rules, *keywords))}
     column = f"`{text}`"
     found = {names[r.name]: fx.rule_match(column, r, anchors) for r in rules}
-    found |= {names[k.name]: fx.keyword_match(column, lower, k, anchors) for k in keywords}
+    found |= {names[k.name]: fx.keyword_match(column, keys, k, anchors) for k in keywords}
     df = df.withColumns(found)
 
     df = df.withColumn("_signals", fx.signals_in_order(names, rules, keywords))
-    df = df.drop(*shared.values(), *names.values(), *([lower] if own_lower else []))
+    df = df.drop("_present", *shared.values(), *names.values(), *(keys if own_keys else ()))
     return fence(df, ["_signals"])
 
 

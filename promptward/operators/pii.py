@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptward.functions.fence import fence
+from promptward.functions.keys import TextKeys, with_text_keys
 from promptward.functions.pii import (
     HIT_TYPE,
     PiiPattern,
@@ -26,16 +27,16 @@ def with_pii_hits(
     df: DataFrame,
     text: str = "text",
     patterns: Sequence[PiiPattern] | None = None,
-    lower: str | None = None,
+    keys: TextKeys | None = None,
 ) -> DataFrame:
     """Add ``_pii_hits``: all hits, kinds in declared order and each in text order."""
     patterns = tuple(patterns or builtin_patterns())
-    if lower is None:
-        lower = "_lower"
-        df = df.withColumn(lower, F.lower(text))
+    own_keys = keys is None
+    if own_keys:
+        df, keys = with_text_keys(df, text)
     values = {p.type: f"_pii_{i}" for i, p in enumerate(patterns)}
     df = df.withColumns(
-        {c: matched_values(F.col(text), F.col(lower), p) for p in patterns for c in [values[p.type]]}
+        {c: matched_values(text, keys, p) for p in patterns for c in [values[p.type]]}
     )
     total = reduce(add, [F.size(c) for c in values.values()])
     paired = F.concat(*[gaps_before(F.col(text), F.col(values[p.type]), p) for p in patterns])
@@ -43,7 +44,7 @@ def with_pii_hits(
         "_pii_hits",
         F.when(total > 0, hits_of(paired, patterns)).otherwise(F.array().cast(f"array<{HIT_TYPE}>")),
     )
-    df = df.drop(*values.values(), *(["_lower"] if lower == "_lower" else []))
+    df = df.drop(*values.values(), *(keys if own_keys else ()))
     return fence(df, ["_pii_hits"])
 
 
@@ -52,11 +53,11 @@ def with_masked_text(
     text: str = "text",
     patterns: Sequence[PiiPattern] | None = None,
     out: str = "masked_text",
-    lower: str | None = None,
+    keys: TextKeys | None = None,
 ) -> DataFrame:
     """Add ``_pii_hits`` and the masked text."""
     patterns = tuple(patterns or builtin_patterns())
-    df = with_pii_hits(df, text, patterns, lower)
+    df = with_pii_hits(df, text, patterns, keys)
     df = df.withColumn("_pii_marks", mask_clusters(F.col("_pii_hits"), [p.type for p in patterns]))
     return df.withColumn(out, masked_text(F.col(text), F.col("_pii_marks"))).drop("_pii_marks")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from promptward.functions import similarity as fx
 from promptward.functions.fence import fence
+from promptward.functions.keys import TextKeys, with_text_keys
 from promptward.rules import DEFAULT_THRESHOLD
 
 
@@ -16,15 +17,17 @@ def with_seed_scores(
     df: DataFrame,
     text: str = "text",
     seeds: Sequence[fx.Seed] | None = None,
-    lower: str | None = None,
+    keys: TextKeys | None = None,
 ) -> DataFrame:
     """Add ``_scores``: the cosine similarity to every seed."""
     seeds = tuple(seeds or fx.builtin_seeds())
-    low = f"lower(`{text}`)" if lower is None else lower
-    df = df.withColumn("_words", fx.tokens(low))
+    own_keys = keys is None
+    if own_keys:
+        df, keys = with_text_keys(df, text)
+    df = df.withColumn("_words", fx.tokens(keys, seeds))
     df = df.withColumn("_shared", fx.seed_words("_words", seeds))
     df = df.withColumn("_scores", fx.seed_scores("_words", "_shared", seeds))
-    return df.drop("_words", "_shared")
+    return df.drop("_words", "_shared", *(keys if own_keys else ()))
 
 
 def seed_similarity(
@@ -45,10 +48,10 @@ def with_vector_check(
     text: str = "text",
     threshold: float = DEFAULT_THRESHOLD,
     seeds: Sequence[fx.Seed] | None = None,
-    lower: str | None = None,
+    keys: TextKeys | None = None,
 ) -> DataFrame:
     """Add ``_vector``: the best seed, its rounded score and whether it triggered."""
-    df = with_seed_scores(df, text, seeds, lower)
+    df = with_seed_scores(df, text, seeds, keys)
     df = df.withColumn("_best", fx.best_seed(F.col("_scores")))
     df = df.withColumn("_vector", fx.vector_check(F.col("_best"), threshold)).drop("_scores", "_best")
     return fence(df, ["_vector"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from promptward.functions import injection as inj
 from promptward.functions import risk
 from promptward.functions.fence import fence
+from promptward.functions.keys import with_text_keys
 from promptward.functions.pii import PiiPattern
 from promptward.functions.similarity import Seed
 from promptward.operators.injection import with_signals
@@ -44,10 +45,10 @@ def scan(
     do not use are pruned.  Works the same on a streaming DataFrame.
     """
     kept = df.columns
-    df = df.withColumn("_low", F.lower(text))
-    df = with_masked_text(df, text, patterns, "masked_prompt", lower="_low")
-    df = with_signals(df, text, rules, keywords, lower="_low")
-    df = with_vector_check(df, text, threshold, seeds, lower="_low")
+    df, keys = with_text_keys(df, text)
+    df = with_masked_text(df, text, patterns, "masked_prompt", keys)
+    df = with_signals(df, text, rules, keywords, keys)
+    df = with_vector_check(df, text, threshold, seeds, keys)
 
     df = df.withColumns(
         {
