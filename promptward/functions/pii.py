@@ -22,9 +22,9 @@ class PiiPattern(NamedTuple):
     """One kind of personal data.
 
     ``guard`` is a cheap SQL condition that holds for every text with a match; the
-    regex runs only where it does.  In it ``{text}`` stands for the text and
-    ``{vocab}`` for its distinct lower-case words.  ``valid`` drops matches that
-    fail a check.
+    regex runs only where it does.  In it ``{text}`` stands for the text,
+    ``{vocab}`` for its distinct lower-case words and ``_numeric`` for the outcome
+    of ``may_hold_numbers``.  ``valid`` drops matches that fail a check.
     """
 
     type: str
@@ -107,9 +107,14 @@ def _mask_password(value: Column) -> Column:
     return bind(F.regexp_extract(value, head, 0), redact)
 
 
+def may_hold_numbers(text: Column) -> Column:
+    """Four digits with at most one separator between them: part of every number kind."""
+    return text.rlike(f"[0-9](?:[{BLANKS}.\\-]?[0-9]){{3}}")
+
+
 # A mobile number ends in two groups of four digits.
 _EIGHT_DIGITS = (
-    "rlike({vocab}, '[0-9]{{4}}') AND rlike({text}, '"
+    "_numeric AND rlike({text}, '"
     + f"[0-9]{{4}}[{BLANKS}\\-]?[0-9]{{4}}".replace("{", "{{").replace("}", "}}").replace("\\", "\\\\")
     + "')"
 )
@@ -125,13 +130,13 @@ def builtin_patterns() -> tuple[PiiPattern, ...]:
     """The nine built-in kinds, in declared order."""
     parts = {
         "PHONE_CN": (_mask_phone, _EIGHT_DIGITS, None),
-        "ID_CARD_CN": (_mask_id, "rlike({vocab}, '[0-9]{{17}}')", id_checksum_ok),
+        "ID_CARD_CN": (_mask_id, "_numeric AND rlike({text}, '[0-9]{{17}}')", id_checksum_ok),
         "EMAIL": (_mask_email, "contains({text}, '@')", None),
         "API_KEY_OPENAI": (_mask_openai, "contains({text}, 'sk-')", None),
         "API_KEY_AWS": (_mask_aws, "contains({vocab}, 'akia')", None),
         "API_KEY_GOOGLE": (_mask_google, "contains({vocab}, 'aiza')", None),
-        "CREDIT_CARD": (_mask_card, "rlike({text}, '[0-9](?:[ \\\\-]?[0-9]){{13}}')", None),
-        "IP_ADDRESS": (_mask_ip, "rlike({text}, '[0-9][.][0-9]{{1,3}}[.][0-9]')", None),
+        "CREDIT_CARD": (_mask_card, "_numeric AND rlike({text}, '[0-9](?:[ \\\\-]?[0-9]){{13}}')", None),
+        "IP_ADDRESS": (_mask_ip, "_numeric AND rlike({text}, '[0-9][.][0-9]{{1,3}}[.][0-9]')", None),
         "PASSWORD_KV": (_mask_password, _PASSWORD_WORDS, None),
     }
     return tuple(

@@ -72,19 +72,17 @@ def vocabulary(seeds: tuple[Seed, ...]) -> list[str]:
 
 def squared_norm(words: str) -> str:
     """Sum over distinct words of (count x weight)^2, by run lengths of the sorted words."""
+    ended = (
+        f"run.done + run.n * run.n * IF({_in('run.word', BOOST_TERMS)}, {BOOST_FACTOR * BOOST_FACTOR}L, 1L)"
+    )
     return f"""
         aggregate(
             sort_array({words}),
-            named_struct('word', '', 'total', 0L, 'weight', 0L, 'done', 0L),
-            (run, w) -> IF(
-                run.word = w,
-                named_struct('word', w, 'total', run.total + run.weight,
-                             'weight', run.weight, 'done', run.done),
-                element_at(transform(
-                    array(IF({_in('w', BOOST_TERMS)}, {BOOST_FACTOR}L, 1L)),
-                    k -> named_struct('word', w, 'total', k, 'weight', k,
-                                      'done', run.done + run.total * run.total)), 1)),
-            run -> run.done + run.total * run.total)"""
+            named_struct('word', '', 'n', 0L, 'done', 0L),
+            (run, w) -> IF(run.word = w,
+                           named_struct('word', w, 'n', run.n + 1L, 'done', run.done),
+                           named_struct('word', w, 'n', 1L, 'done', {ended})),
+            run -> {ended})"""
 
 
 def seed_scores(words: str, shared: str, seeds: tuple[Seed, ...]) -> Column:

@@ -20,7 +20,9 @@ from promptward.functions.pii import (
     mask_clusters,
     masked_text,
     matched_values,
+    may_hold_numbers,
 )
+from promptward.functions.reuse import built_once
 
 
 def with_pii_hits(
@@ -34,20 +36,32 @@ def with_pii_hits(
     own_keys = keys is None
     if own_keys:
         df, keys = with_text_keys(df, text)
-    values = {p.type: f"_pii_{i}" for i, p in enumerate(patterns)}
-    df = df.withColumns(
-        {c: matched_values(text, keys, p) for p in patterns for c in [values[p.type]]}
-    )
-    total = reduce(add, [F.size(c) for c in values.values()])
-    paired = F.concat(*[gaps_before(F.col(text), F.col(values[p.type]), p) for p in patterns])
-    df = df.withColumn(
-        "_pii_hits",
-        F.when(total > 0, hits_of(paired, patterns)).otherwise(F.array().cast(f"array<{HIT_TYPE}>")),
-    )
-    df = df.drop(*values.values(), *(keys if own_keys else ()))
+    df = df.withColumn("_numeric", may_hold_numbers(F.col(text)))
+    values = tuple(f"_pii_{i}" for i in range(len(patterns)))
+    df = df.withColumns({c: matched_values(text, keys, p) for c, p in zip(values, patterns)})
+    df = df.withColumn("_pii_hits", _hits_column(text, values, patterns))
+    df = df.drop("_numeric", *values, *(keys if own_keys else ()))
     return fence(df, ["_pii_hits"])
 
 
+@built_once
+def _hits_column(text: str, values: tuple[str, ...], patterns: tuple[PiiPattern, ...]) -> Column:
+    total = reduce(add, [F.size(c) for c in values])
+    paired = F.concat(*[gaps_before(F.col(text), F.col(c), p) for c, p in zip(values, patterns)])
+    none = F.array().cast(f"array<{HIT_TYPE}>")
+    return F.when(total > 0, hits_of(paired, patterns)).otherwise(none)
+
+
+@built_once
+def _clusters_column(types: tuple[str, ...]) -> Column:
+    return mask_clusters(F.col("_pii_hits"), types)
+
+
+@built_once
+def _masked_column(text: str) -> Column:
+    return masked_text(F.col(text), F.col("_pii_marks"))
+
+
 def with_masked_text(
     df: DataFrame,
     text: str = "text",
@@ -58,8 +72,8 @@ def with_masked_text(
     """Add ``_pii_hits`` and the masked text."""
     patterns = tuple(patterns or builtin_patterns())
     df = with_pii_hits(df, text, patterns, keys)
-    df = df.withColumn("_pii_marks", mask_clusters(F.col("_pii_hits"), [p.type for p in patterns]))
-    return df.withColumn(out, masked_text(F.col(text), F.col("_pii_marks"))).drop("_pii_marks")
+    df = df.withColumn("_pii_marks", _clusters_column(tuple(p.type for p in patterns)))
+    return df.withColumn(out, _masked_column(text)).drop("_pii_marks")
 
 
 def pii_matches(

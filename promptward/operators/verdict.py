@@ -46,9 +46,11 @@ def scan(
     """
     kept = df.columns
     df, keys = with_text_keys(df, text)
-    df = with_masked_text(df, text, patterns, "masked_prompt", keys)
-    df = with_signals(df, text, rules, keywords, keys)
+    # The layer that needs the longest helper columns comes first, so that they are
+    # pruned early and not copied from step to step.
     df = with_vector_check(df, text, threshold, seeds, keys)
+    df = with_signals(df, text, rules, keywords, keys)
+    df = with_masked_text(df, text, patterns, "masked_prompt", keys)
 
     df = df.withColumns(
         {
