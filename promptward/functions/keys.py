@@ -25,6 +25,12 @@ class TextKeys(NamedTuple):
     vocabulary: str = "_vocab"
 
 
+def with_lower_text(df: DataFrame, text: str) -> tuple[DataFrame, TextKeys]:
+    """Lower-cased text only, for a layer that searches too little to pay for words."""
+    k = TextKeys(vocabulary=TextKeys().lower)
+    return df.withColumn(k.lower, F.lower(text)), k
+
+
 def with_text_keys(df: DataFrame, text: str) -> tuple[DataFrame, TextKeys]:
     k = TextKeys()
     df = df.withColumn(k.lower, F.lower(text))

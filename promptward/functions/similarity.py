@@ -55,7 +55,7 @@ def tokens(keys: TextKeys, seeds: tuple[Seed, ...]) -> Column:
     """
     seed_words = ", ".join(sql_str(w) for w in vocabulary(seeds))
     return F.expr(
-        f"""IF(arrays_overlap({keys.distinct}, array({seed_words})),
+        f"""IF(arrays_overlap({keys.words}, array({seed_words})),
                filter({keys.words}, w -> length(w) > 1 AND NOT {_in('w', STOPWORDS)}),
                CAST(array() AS array<string>))"""
     )

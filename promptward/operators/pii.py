@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptward.functions.fence import fence
-from promptward.functions.keys import TextKeys, with_text_keys
+from promptward.functions.keys import TextKeys, with_lower_text
 from promptward.functions.pii import (
     HIT_TYPE,
     PiiPattern,
@@ -35,7 +35,7 @@ def with_pii_hits(
     patterns = tuple(patterns or builtin_patterns())
     own_keys = keys is None
     if own_keys:
-        df, keys = with_text_keys(df, text)
+        df, keys = with_lower_text(df, text)
     df = df.withColumn("_numeric", may_hold_numbers(F.col(text)))
     values = tuple(f"_pii_{i}" for i in range(len(patterns)))
     df = df.withColumns({c: matched_values(text, keys, p) for c, p in zip(values, patterns)})

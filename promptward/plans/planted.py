@@ -14,7 +14,8 @@ from promptward.functions.scalars import sql_str
 from promptward.operators.audit import to_audit
 from promptward.operators.verdict import scan
 from promptward.rules import KEYWORDS, PAYLOADS
-from promptward.sources.tables import read_table, spread
+from promptward.sources.folders import new_run
+from promptward.sources.tables import read_audit, read_table, spread, write_audit
 
 # One text per injection pattern, in the order of the rules.
 RULE_TEXTS = {
@@ -191,6 +192,13 @@ def planted_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_audit(planted_scan(spark, sf_dir))
 
 
+def stored_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit as a table by day, for queries that read it more than once."""
+    path, _ = new_run(spark, "audit")
+    write_audit(planted_audit(spark, sf_dir), path)
+    return read_audit(spark, path)
+
+
 def as_of(spark: SparkSession, sf_dir: str) -> F.Column:
     """The newest event is "now"."""
     events = read_table(spark, f"{sf_dir}/events.parquet")

@@ -21,6 +21,7 @@ from promptward.operators import report as rep
 from promptward.operators import similarity as sim
 from promptward.operators import verdict as vd
 from promptward.plans import planted as pl
+from promptward.sources.folders import new_run
 from promptward.sources.tables import DOCUMENTS_SCHEMA, EVENTS_SCHEMA, read_table_stream
 from promptward.streaming import jobs as sj
 
@@ -282,7 +283,7 @@ def session_ranking(spark, sf_dir):
 
 @query
 def summary_metrics(spark, sf_dir):
-    return dash.summary_metrics(pl.planted_audit(spark, sf_dir), pl.as_of(spark, sf_dir))
+    return dash.summary_metrics(pl.stored_audit(spark, sf_dir), pl.as_of(spark, sf_dir))
 
 
 @query
@@ -379,7 +380,7 @@ def scan_history(spark, sf_dir):
 
 @query
 def compliance_report(spark, sf_dir):
-    return rep.compliance_report(pl.planted_audit(spark, sf_dir), pl.as_of(spark, sf_dir))
+    return rep.compliance_report(pl.stored_audit(spark, sf_dir), pl.as_of(spark, sf_dir))
 
 
 @query
@@ -412,7 +413,7 @@ def _audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
-    out, checkpoint = sj.new_run(spark, name)
+    out, checkpoint = new_run(spark, name)
     sj.start_parquet(stream, out, checkpoint, mode).awaitTermination()
     return spark.read.parquet(out)
 
@@ -436,7 +437,7 @@ def route_stream(spark, sf_dir):
         F.timestamp_seconds("doc_id").alias("ts"),
         F.length("text").alias("latency_ms"),
     )
-    out, checkpoint = sj.new_run(spark, "route_stream")
+    out, checkpoint = new_run(spark, "route_stream")
     sj.route_stream(sj.stream_scan(prompts), out, checkpoint).start().awaitTermination()
     counts = [
         spark.read.parquet(f"{out}/{name}").agg(F.count("*").alias("rows")).select(F.lit(name).alias("output"), "rows")
@@ -453,7 +454,7 @@ def stream_timeline(spark, sf_dir):
 @query
 def stream_session_threats(spark, sf_dir):
     counts = sj.stream_session_threats(_audit_stream(spark, sf_dir))
-    out, checkpoint = sj.new_run(spark, "stream_session_threats")
+    out, checkpoint = new_run(spark, "stream_session_threats")
     (
         counts.writeStream.outputMode("complete")
         .foreachBatch(sj.ranking_batch(out))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from promptward.operators.audit import to_audit
 from promptward.operators.verdict import scan
 from promptward.plans.planted import PLANTED
+from promptward.sources.folders import checkpoint_root
 from promptward.sources.tables import read_table_stream
 from promptward.streaming import jobs
 
@@ -109,4 +110,4 @@ def test_dedup(spark, source, tmp_path):
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
-    assert jobs.checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir")
