@@ -155,9 +155,13 @@ class Anchors:
 
 
 def rule_match(text: str, rule: Rule, anchors: Anchors) -> Column:
-    """Match of the first pattern of a rule that matches, else NULL."""
+    """Match of the first pattern of a rule that matches, else NULL.
+
+    Rules of a caller have no anchors, even under the name of a built-in one.
+    """
     tries = []
-    for pattern, words in zip(rule.patterns, ANCHORS.get(rule.name, ((),) * len(rule.patterns))):
+    known = ANCHORS[rule.name] if rule in RULES else ((),) * len(rule.patterns)
+    for pattern, words in zip(rule.patterns, known, strict=True):
         regex, group = rule_regex(pattern)
         found = f"nullif(regexp_extract({text}, {sql_str(regex)}, {group}), '')"
         tries.append(f"CASE WHEN {anchors.allow(words)} THEN {found} END" if words else found)
@@ -167,7 +171,7 @@ def rule_match(text: str, rule: Rule, anchors: Anchors) -> Column:
 def keyword_match(text: str, keys: TextKeys, keyword: Keyword, anchors: Anchors) -> Column:
     """The text at the first case-insensitive occurrence of a keyword, else NULL."""
     held = holds(keys, keyword.text.lower())
-    if keyword.name in KEYWORD_ANCHORS:
+    if keyword in KEYWORDS and keyword.name in KEYWORD_ANCHORS:
         held = f"{anchors.has(KEYWORD_ANCHORS[keyword.name])} AND {held}"
     at = f"instr({keys.lower}, {sql_str(keyword.text.lower())})"
     return F.expr(f"CASE WHEN {held} THEN substring({text}, {at}, {len(keyword.text)}) END")

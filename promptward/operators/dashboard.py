@@ -66,7 +66,7 @@ def attack_breakdown(audit: DataFrame, as_of: Column | datetime) -> DataFrame:
     """Rows per attack type of the last 24 hours; all four types in fixed order."""
     counted = (
         recent_audit(audit, as_of)
-        .filter(F.col("attack_type") != ATTACK_NONE)
+        .filter(F.col("attack_type").isin(*ATTACK_ORDER))
         .groupBy(F.col("attack_type").alias("name"))
         .agg(F.count("*").alias("_n"))
     )

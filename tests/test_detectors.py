@@ -17,7 +17,7 @@ from promptward.operators.pii import mask_pii, masked_corpus, pii_counts, pii_ma
 from promptward.operators.similarity import seed_similarity, vector_check
 from promptward.operators.verdict import scan
 from promptward.plans.planted import PII_TEXTS, RULE_TEXTS
-from promptward.rules import KEYWORDS, PAYLOADS, PII_TYPES, RULES, SEEDS
+from promptward.rules import KEYWORDS, PAYLOADS, PII_TYPES, RULES, SEEDS, Keyword, Rule
 
 ALL_RULE_TEXTS = [(r.name, i, RULE_TEXTS[r.name][i]) for r in RULES for i in range(len(r.patterns))]
 
@@ -187,6 +187,14 @@ def test_callers_may_add_patterns(texts):
     assert out[0].masked_text == "see T-**** of *@b.co"
 
 
+def test_callers_may_add_rules_and_keywords(texts):
+    rule = Rule("ROLE_OVERRIDE", "MEDIUM", "own", (r"(?i)open\s+sesame",) * 8)
+    word = Keyword("abracadabra", "HIGH", 1, "KW_DAN_MODE", "own")
+    rows = with_signals(texts(["Open  Sesame Abracadabra"]), rules=(rule,), keywords=(word,)).collect()
+    assert [(s.rule_name, s.matched) for s in rows[0]._signals] == [
+        ("KW_DAN_MODE", "Abracadabra"), ("ROLE_OVERRIDE", "Open  Sesame")]
+
+
 def test_risk_table(spark):
     expected = {
         0: ("LOW", "MEDIUM", "HIGH", "CRITICAL"),
