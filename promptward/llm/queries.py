@@ -12,6 +12,25 @@ from promptward.llm.common import read_documents
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file; it is installed beside Spark on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptward.llm.pieces import encode_decode
+
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    return encode_decode(docs, tokenizer("piece_bpe_32k.model")).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids_text", 256).alias("ids_sha256"),
+        F.sha2("decoded_text", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from promptward.llm.exact import exact_duplicates
 
@@ -21,5 +40,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
