@@ -11,6 +11,37 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM t JOIN g USING (h)
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, w, least(len(w), 10) AS n
+  FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), bw AS (
+  SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+  FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b)
+), lens AS (
+  SELECT DISTINCT n FROM bw
+), dw AS (
+  SELECT rid, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)
+), hit AS (
+  SELECT rid, i, dw.n, item FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n
+), cov AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid
+), its AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
+"""
+
 ORACLE = {
+    "op2_decontamination": OP2,
     "op10_exact_dedup": OP10,
 }
