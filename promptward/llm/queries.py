@@ -53,6 +53,14 @@ def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptward.llm.suffixes import drop_repeated_bytes
+
+    return drop_repeated_bytes(read_documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from promptward.llm.tokenfile import round_trip
 
@@ -77,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontamination": op2_decontamination,
     "op3_passages": op3_passages,
+    "op5_suffixes": op5_suffixes,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
