@@ -61,6 +61,20 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptward.llm.shards import pack
+
+    return pack(read_documents(spark, sf_dir)).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from promptward.llm.tokenfile import round_trip
 
@@ -86,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_passages": op3_passages,
     "op5_suffixes": op5_suffixes,
+    "op6_shards": op6_shards,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
