@@ -75,6 +75,14 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptward.llm import toxicity as tox
+
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    index = tox.fit(docs, tox.read_labels(spark, sf_dir))
+    return tox.score(docs, index).select("doc_id", tox.held_out().alias("held_out"), "score", "predicted", "evidence")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from promptward.llm.tokenfile import round_trip
 
@@ -101,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op3_passages": op3_passages,
     "op5_suffixes": op5_suffixes,
     "op6_shards": op6_shards,
+    "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
