@@ -166,7 +166,8 @@ def contamination(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn(
         "key", digest(text_or_empty("text"))
     )
-    read = texts.join(written(met, "met"), "key").filter(F.col("id").eqNullSafe(F.col("of")))
+    # Both sides grow with the corpus, so they are shuffled at every size.
+    read = texts.join(written(met, "met").hint("merge"), "key").filter(F.col("id").eqNullSafe(F.col("of")))
     read = fence(read.select("key", "runs", exact_words("text").alias("words")), ["words"])
     tried = (
         read.select("key", "words", F.inline("runs"))
@@ -193,7 +194,7 @@ def contamination(
         ),
     )["n"]
     hits = hits.withColumn("n_hit", covered.cast("bigint"))
-    return prints.select("id", "key", "n_words").join(hits, "key", "left").select(
+    return prints.select("id", "key", "n_words").join(hits.hint("merge"), "key", "left").select(
         F.col("id").alias(id_col),
         "key",
         "n_words",
