@@ -53,6 +53,12 @@ def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptward.llm.near import near_duplicates
+
+    return near_duplicates(read_documents(spark, sf_dir))
+
+
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from promptward.llm.suffixes import drop_repeated_bytes
 
@@ -107,6 +113,7 @@ QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontamination": op2_decontamination,
     "op3_passages": op3_passages,
+    "op4_minhash": op4_minhash,
     "op5_suffixes": op5_suffixes,
     "op6_shards": op6_shards,
     "op8_toxicity": op8_toxicity,
