@@ -81,6 +81,18 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptward.llm import personal as pd
+
+    found = pd.find_personal_data(read_documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        *[pd.count_of("base", k).alias(f"n_{k}") for k in pd.KINDS],
+        F.sha2(pd.listed("base"), 256).alias("base_sha256"),
+        pd.listed("spans").alias("spans"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from promptward.llm import toxicity as tox
 
@@ -116,6 +128,7 @@ QUERIES: dict[str, Query] = {
     "op4_minhash": op4_minhash,
     "op5_suffixes": op5_suffixes,
     "op6_shards": op6_shards,
+    "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
