@@ -210,4 +210,4 @@ def drop_contaminated(
     """The rows of ``docs`` that share no window with the benchmark, with all their columns."""
     hit = contamination(docs, items, id_col, text).filter("n_hit > 0").select("key").distinct()
     rows = docs.withColumn("_key", digest(text_or_empty(text)))
-    return rows.join(written(hit, "hit"), F.col("_key") == F.col("key"), "left_anti").select(*docs.columns)
+    return rows.join(written(hit, "hit").hint("merge"), F.col("_key") == F.col("key"), "left_anti").select(*docs.columns)

@@ -229,7 +229,7 @@ def drop_exact_duplicates(
     first = rows[id_col].cast("bigint").eqNullSafe(winners["_keep_id"])
 
     def of(part: DataFrame) -> DataFrame:
-        return rows.join(part, same & first, "left_semi")
+        return rows.join(part.hint("merge"), same & first, "left_semi")
 
     kept = of(winners.filter("_n_first = 1"))
     repeated = winners.filter("_n_first > 1")
