@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptward.functions.fence import fence
-from promptward.llm.common import digest, text_or_empty, written
+from promptward.llm.common import digest, text_or_empty, unused, written
 
 WINDOW = 10
 GRAM = 5
@@ -209,5 +209,6 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs`` that share no window with the benchmark, with all their columns."""
     hit = contamination(docs, items, id_col, text).filter("n_hit > 0").select("key").distinct()
-    rows = docs.withColumn("_key", digest(text_or_empty(text)))
-    return rows.join(written(hit, "hit").hint("merge"), F.col("_key") == F.col("key"), "left_anti").select(*docs.columns)
+    key = unused(docs, "text_digest")
+    hit = written(hit.withColumnRenamed("key", key), "hit")
+    return docs.withColumn(key, digest(text_or_empty(text))).join(hit.hint("merge"), key, "left_anti").select(*docs.columns)

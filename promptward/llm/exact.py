@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptward.llm.common import digest, text_or_empty, written
+from promptward.llm.common import digest, text_or_empty, unused, written
 from promptward.llm.windows import mix
 
 #: Distinct texts per shard, on average; a shard takes about 60 bytes for each.
@@ -219,21 +219,22 @@ def drop_exact_duplicates(
     Of rows that agree in id and text one is kept, whichever comes first.
     """
     _, groups = duplicate_groups(docs, id_col, text, history_share)
+    key, keep, times = (unused(docs, n) for n in ("text_digest", "keep_this", "times_first"))
     winners = groups.select(
-        F.col("digest").alias("_digest"),
-        F.when(~F.col("no_id"), F.col("keep_id")).alias("_keep_id"),
-        F.col("n_first").alias("_n_first"),
+        F.col("digest").alias(key),
+        F.when(~F.col("no_id"), F.col("keep_id")).alias(keep),
+        F.col("n_first").alias(times),
     )
-    rows = docs.withColumn("_digest", digest(normalised(text)))
-    same = rows["_digest"] == winners["_digest"]
-    first = rows[id_col].cast("bigint").eqNullSafe(winners["_keep_id"])
+    rows = docs.withColumn(key, digest(normalised(text)))
+    same = rows[key] == winners[key]
+    first = rows[id_col].cast("bigint").eqNullSafe(winners[keep])
 
     def of(part: DataFrame) -> DataFrame:
         return rows.join(part.hint("merge"), same & first, "left_semi")
 
-    kept = of(winners.filter("_n_first = 1"))
-    repeated = winners.filter("_n_first > 1")
+    kept = of(winners.filter(F.col(times) == 1))
+    repeated = winners.filter(F.col(times) > 1)
     if repeated.limit(1).count():
-        kept = kept.unionByName(of(repeated).dropDuplicates(["_digest", id_col]))
+        kept = kept.unionByName(of(repeated).dropDuplicates([key, id_col]))
     return kept.select(*docs.columns)
 

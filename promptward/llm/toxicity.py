@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptward.functions.fence import fence
-from promptward.llm.common import text_or_empty, written
+from promptward.llm.common import text_or_empty, unused, written
 from promptward.llm.pieces import _Remembered
 
 #: Labelled rows of each label that the model is fitted on, at most.
@@ -312,8 +312,9 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
-    index = fit(docs, labels, id_col, text)
-    return score(docs, index, text).filter("predicted = 0").select(*docs.columns)
+    aside = {c: unused(docs, "kept_" + c) for c in docs.columns if c.lower() in ("score", "predicted", "evidence")}
+    scored = score(docs.withColumnsRenamed(aside), fit(docs, labels, id_col, text), aside.get(text, text))
+    return scored.filter("predicted = 0").select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
