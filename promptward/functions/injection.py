@@ -178,7 +178,7 @@ def keyword_match(text: str, keys: TextKeys, keyword: Keyword, anchors: Anchors)
 
 
 def signals_in_order(
-    matches: dict[str, str],
+    matches: Sequence[str],
     rules: Sequence[Rule] = RULES,
     keywords: Sequence[Keyword] = KEYWORDS,
 ) -> Column:
@@ -186,19 +186,27 @@ def signals_in_order(
 
     Severity belongs to the rule, not to the match, so the order is fixed when the
     expression is built and no row sorts anything.  ``matches`` names the column
-    with the match of each rule or keyword.
+    with the match of each rule, then of each keyword.  Of entries with one name the
+    first declared one that matches gives the signal.
     """
     entries = [("RULE", r) for r in rules] + [("KEYWORD", k) for k in keywords]
-    entries.sort(key=lambda e: -RISK_RANK[e[1].severity])
+    earlier: dict[str, list[str]] = {}
+    placed = []
+    for (layer, e), column in zip(entries, matches):
+        taken = earlier.setdefault(e.name, [])
+        alone = "".join(f" AND {c} IS NULL" for c in taken)
+        taken.append(column)
+        placed.append((layer, e, column, alone))
+    placed.sort(key=lambda p: -RISK_RANK[p[1].severity])
     present = [
-        f"CASE WHEN {matches[e.name]} IS NOT NULL THEN named_struct("
+        f"CASE WHEN {column} IS NOT NULL{alone} THEN named_struct("
         f"'layer', '{layer}', 'rule_name', {sql_str(e.name)}, "
         f"'description', {sql_str(e.description)}, 'severity', {sql_str(e.severity)}, "
-        f"'matched', {matches[e.name]}) END"
-        for layer, e in entries
+        f"'matched', {column}) END"
+        for layer, e, column, alone in placed
     ]
     return F.expr(
-        f"""CASE WHEN coalesce({', '.join(matches.values())}) IS NOT NULL
+        f"""CASE WHEN coalesce({', '.join(matches)}) IS NOT NULL
                  THEN filter(array({', '.join(present)}), s -> s IS NOT NULL)
                  ELSE CAST(array() AS array<{SIGNAL_TYPE}>) END"""
     )

@@ -15,6 +15,28 @@ def sql_str(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+_DAY_MICROS = 86_400_000_000
+
+
+def utc_day(instant: Column) -> Column:
+    """The date of a timestamp in UTC, whatever the session time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(instant) / _DAY_MICROS).cast("int"))
+
+
+def utc_text(instant: Column) -> Column:
+    """A timestamp as ISO 8601 text in UTC with milliseconds, whatever the session time zone."""
+    millis = F.floor(F.pmod(F.unix_micros(instant), F.lit(_DAY_MICROS)) / 1000).cast("int")
+    seconds = F.floor(millis / 1000).cast("int")
+    return F.format_string(
+        "%sT%02d:%02d:%02d.%03dZ",
+        utc_day(instant).cast("string"),
+        F.floor(seconds / 3600).cast("int"),
+        (F.floor(seconds / 60) % 60).cast("int"),
+        seconds % 60,
+        millis % 1000,
+    )
+
+
 def half_up(value: Column) -> Column:
     """Nearest integer, halves upwards."""
     return F.floor(value + F.lit(0.5)).cast("int")

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptward.functions.scalars import prompt_hash
+from promptward.functions.scalars import prompt_hash, utc_day
 from promptward.rules import DEFAULT_MODEL, MASKED_PROMPT_CHARS, RECENT_SCANS, RISK_LEVELS
 
 AUDIT_COLUMNS = (
@@ -70,15 +70,16 @@ def instant(as_of: Column | datetime) -> Column:
 
 
 def recent_audit(audit: DataFrame, as_of: Column | datetime, hours: int = 24) -> DataFrame:
-    """The columns dashboards need of the rows of the last hours, both ends included.
+    """The columns dashboards need of the rows of the hours up to ``as_of``, both ends included.
 
-    The table is read back by day, so where it has a ``dt`` partition column the
-    same bound is put on it and older files are not listed.
+    The table is read back by UTC day, so where it has a ``dt`` partition column the
+    same bounds are put on it and other files are not listed.
     """
-    since = instant(as_of) - F.expr(f"INTERVAL {int(hours)} HOURS")
-    rows = audit.filter(F.col("timestamp") >= since)
+    until = instant(as_of)
+    since = until - F.expr(f"INTERVAL {int(hours)} HOURS")
+    rows = audit.filter((F.col("timestamp") >= since) & (F.col("timestamp") <= until))
     if "dt" in audit.columns:
-        rows = rows.filter(F.col("dt") >= F.to_date(since))
+        rows = rows.filter((F.col("dt") >= utc_day(since)) & (F.col("dt") <= utc_day(until)))
     return rows.select("timestamp", "blocked", "risk_level", "attack_type", "latency", "session_id")
 
 
@@ -133,16 +134,15 @@ def risk_counts_wide(audit: DataFrame) -> DataFrame:
 
 
 def recent_scans(audit: DataFrame, n: int = RECENT_SCANS) -> DataFrame:
-    """The newest scans of every session.
+    """The newest scans of every session; rows without a session belong to none.
 
     The rank bound reaches below the shuffle, so a busy session sends on at most
     ``n`` rows per task.
     """
     newest = Window.partitionBy("session_id").orderBy(F.col("timestamp").desc(), F.col("id"))
     return (
-        audit.select(
-            "session_id", "id", "timestamp", "risk_level", "attack_type", "latency", "model_used", "blocked"
-        )
+        audit.filter(F.col("session_id").isNotNull())
+        .select("session_id", "id", "timestamp", "risk_level", "attack_type", "latency", "model_used", "blocked")
         .withColumn("position", F.row_number().over(newest))
         .filter(F.col("position") <= n)
     )

@@ -60,6 +60,16 @@ def sanitize_conversation(
 
 
 def forwardable(messages: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Messages of conversations whose scanned prompt was not blocked."""
-    blocked = verdicts.filter("blocked").select("conv_id")
-    return messages.join(blocked, "conv_id", "left_anti")
+    """Messages of conversations whose scanned prompt was not blocked.
+
+    A conversation without a verdict, such as one without a user turn, was never
+    scanned and stays behind; so does one whose verdict is unknown.
+    """
+    passed = verdicts.filter(~F.col("blocked")).select("conv_id")
+    return messages.join(passed, "conv_id", "left_semi")
+
+
+def not_forwardable(messages: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The messages that ``forwardable`` holds back."""
+    passed = verdicts.filter(~F.col("blocked")).select("conv_id")
+    return messages.join(passed, "conv_id", "left_anti")

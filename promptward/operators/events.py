@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptward.operators.audit import _column, audit_id
-from promptward.functions.scalars import prompt_hash
+from promptward.functions.scalars import prompt_hash, utc_text
 from promptward.rules import BLOCKED_MODEL, DEFAULT_MODEL
 
 BLOCK_MESSAGE = "Request blocked by security policy."
@@ -68,7 +68,7 @@ def scan_events(
             F.col("_result").alias("scanResult"),
             F.col("_model").alias("model"),
             F.col("request_id").alias("requestId"),
-            F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
+            utc_text(F.col("timestamp")).alias("timestamp"),
         )
     )
     error = F.to_json(

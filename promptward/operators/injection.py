@@ -34,14 +34,15 @@ def with_signals(
     )
     anchors = fx.Anchors(keys, "_present", shared)
 
-    names = {e.name: f"_m{i}" for i, e in enumerate((*rules, *keywords))}
+    names = [f"_m{i}" for i in range(len(rules) + len(keywords))]
     column = f"`{text}`"
-    found = {names[r.name]: fx.rule_match(column, r, anchors) for r in rules}
-    found |= {names[k.name]: fx.keyword_match(column, keys, k, anchors) for k in keywords}
+    matches = [fx.rule_match(column, r, anchors) for r in rules]
+    matches += [fx.keyword_match(column, keys, k, anchors) for k in keywords]
+    found = dict(zip(names, matches))
     df = df.withColumns(found)
 
     df = df.withColumn("_signals", fx.signals_in_order(names, rules, keywords))
-    df = df.drop("_present", *shared.values(), *names.values(), *(keys if own_keys else ()))
+    df = df.drop("_present", *shared.values(), *names, *(keys if own_keys else ()))
     return fence(df, ["_signals"])
 
 

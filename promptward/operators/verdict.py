@@ -41,8 +41,10 @@ def scan(
 ) -> DataFrame:
     """Add the verdict columns to a text table.
 
-    Everything is a projection: nothing is shuffled, and columns that later steps
-    do not use are pruned.  Works the same on a streaming DataFrame.
+    Everything is a projection: nothing is shuffled.  The findings of each layer and
+    the decision made of them are computed once per row; the masked text and the
+    lists made from them only where a later step reads them.  Works the same on a
+    streaming DataFrame.
     """
     kept = df.columns
     df, keys = with_text_keys(df, text)
@@ -75,7 +77,7 @@ def scan(
             "triggered_rules"
         ),
     )
-    return fence(df, VERDICT_COLUMNS)
+    return fence(df, ("risk_level", "attack_type", "blocked"))
 
 
 def stage_status(verdicts: DataFrame, id_col: str = "id") -> DataFrame:

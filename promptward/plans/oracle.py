@@ -280,7 +280,7 @@ audit AS (
            CASE WHEN triggered THEN similarity_score END AS similarity_score, session_id
     FROM scanned),
 now AS (SELECT max(ts) AS t FROM events),
-recent AS (SELECT * FROM audit, now WHERE timestamp >= t - INTERVAL 24 HOUR)"""
+recent AS (SELECT * FROM audit, now WHERE timestamp BETWEEN t - INTERVAL 24 HOUR AND t)"""
 
 _BREAKDOWN = (
     "types(ord, name) AS (VALUES "
@@ -318,6 +318,11 @@ def _audit(sql: str, *more: str) -> str:
     return with_ctes(planted_cte(), verdict_cte(), _SCANNED, *more) + sql
 
 
+def _past(sql: str, *more: str) -> str:
+    """The same with an instant 30 hours before the newest event."""
+    return _audit(sql, *more).replace("SELECT max(ts) AS t", "SELECT max(ts) - INTERVAL 30 HOUR AS t")
+
+
 def _verdicts(sql: str, *more: str) -> str:
     return with_ctes(planted_cte(), verdict_cte(), *more) + sql
 
@@ -486,9 +491,21 @@ def oracle_sql() -> dict[str, str]:
             _planted_conversations(), _LATEST.format(source="planted"), verdict_cte("conv_id", "latest")
         )
         + """SELECT conv_id, turn, role, text FROM planted
-             WHERE conv_id NOT IN (SELECT conv_id FROM verdicts WHERE blocked)""",
+             WHERE conv_id IN (SELECT conv_id FROM verdicts WHERE NOT blocked)""",
         "audit_rows": _audit("SELECT * FROM audit"),
         "recent_audit": _audit("SELECT timestamp, blocked, risk_level, attack_type, latency, session_id FROM recent"),
+        "recent_audit_past": _past(
+            "SELECT timestamp, blocked, risk_level, attack_type, latency, session_id FROM recent"
+        ),
+        "summary_metrics_past": _past("SELECT * FROM summary", _SUMMARY),
+        "not_forwardable": with_ctes(
+            _planted_conversations().replace("planted AS", "given AS", 1),
+            "planted AS MATERIALIZED (SELECT * REPLACE (CASE WHEN conv_id % 10 = 7 THEN 'assistant' ELSE role END AS role) FROM given)",
+            _LATEST.format(source="planted"),
+            verdict_cte("conv_id", "latest"),
+        )
+        + """SELECT conv_id, turn, role, text FROM planted
+             WHERE conv_id NOT IN (SELECT conv_id FROM verdicts WHERE NOT blocked)""",
         "threats": _audit(
             "SELECT id, session_id, attack_type FROM audit WHERE attack_type <> 'NONE' AND session_id IS NOT NULL"
         ),
@@ -532,7 +549,7 @@ def oracle_sql() -> dict[str, str]:
         "recent_scans": _audit(
             """SELECT session_id, id, timestamp, risk_level, CAST(position AS INT) AS position
                FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp DESC, id) AS position
-                     FROM audit) WHERE position <= 8"""
+                     FROM audit WHERE session_id IS NOT NULL) WHERE position <= 8"""
         ),
         "prompt_repeats": _audit(
             """SELECT prompt_hash, count(*) AS times, count(DISTINCT session_id) AS sessions,

@@ -15,7 +15,7 @@ from promptward.operators.audit import to_audit
 from promptward.operators.verdict import scan
 from promptward.rules import KEYWORDS, PAYLOADS
 from promptward.sources.folders import new_run
-from promptward.sources.tables import read_audit, read_table, spread, write_audit
+from promptward.sources.tables import read_audit, read_table, write_audit
 
 # One text per injection pattern, in the order of the rules.
 RULE_TEXTS = {
@@ -136,7 +136,7 @@ def _planted(field: int, index: str) -> F.Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, f"{sf_dir}/documents.parquet"), "doc_id")
+    return read_table(spark, f"{sf_dir}/documents.parquet")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,6 +251,31 @@ def recent_audit(spark, sf_dir):
     return au.recent_audit(pl.planted_audit(spark, sf_dir), pl.as_of(spark, sf_dir))
 
 
+def _past(spark, sf_dir):
+    """An instant before the newest event."""
+    return pl.as_of(spark, sf_dir) - F.expr("INTERVAL 30 HOURS")
+
+
+@query
+def recent_audit_past(spark, sf_dir):
+    """The window of an instant in the past; later rows do not count."""
+    return au.recent_audit(pl.stored_audit(spark, sf_dir), _past(spark, sf_dir))
+
+
+@query
+def summary_metrics_past(spark, sf_dir):
+    return dash.summary_metrics(pl.stored_audit(spark, sf_dir), _past(spark, sf_dir))
+
+
+@query
+def not_forwardable(spark, sf_dir):
+    """What stays behind; conversations whose id ends in 7 have no user turn and so no verdict."""
+    messages = pl.planted_conversations(spark, sf_dir).withColumn(
+        "role", F.when(F.col("conv_id") % 10 == 7, "assistant").otherwise(F.col("role"))
+    )
+    return conv.not_forwardable(messages, _conversation_verdicts(messages))
+
+
 @query
 def threats(spark, sf_dir):
     return au.threats(pl.planted_audit(spark, sf_dir)).select("id", "session_id", "attack_type")

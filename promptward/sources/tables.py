@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptward.functions.scalars import utc_day
+
 CONVERSATIONS_SCHEMA = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
 DOCUMENTS_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 EVENTS_SCHEMA = (
@@ -40,24 +42,25 @@ def read_conversations(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, CONVERSATIONS_SCHEMA)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on an input of fewer splits than cores.
+#: Files that a day of audit rows is split into, and rows a file holds at most.
+DAY_BUCKETS = 8
+FILE_ROWS = 5_000_000
 
-    Scanning is bound by CPU, so a handful of small files would leave most cores
-    idle.  Tables with at least one split per core are left as they are: at that
-    size reading them again through a shuffle would cost more than it gives.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() > cores:
-        return df
-    return df.repartition(cores * 2, key)
 
+def write_audit(
+    audit: DataFrame, path: str, mode: str = "append", day_buckets: int = DAY_BUCKETS, file_rows: int = FILE_ROWS
+) -> None:
+    """Append audit rows, partitioned by UTC day so that time-bounded reads prune files.
 
-def write_audit(audit: DataFrame, path: str, mode: str = "append") -> None:
-    """Append audit rows, partitioned by day so that time-bounded reads prune files."""
+    Rows are dealt out by day and a bucket of their id first, so that a day has
+    ``day_buckets`` files at most per write and a busy day is spread over as many tasks.
+    """
+    days = audit.withColumn("dt", utc_day(F.col("timestamp")))
+    bucket = F.pmod(F.xxhash64("id"), F.lit(day_buckets))
     (
-        audit.withColumn("dt", F.to_date("timestamp"))
+        days.repartition("dt", bucket)
         .write.mode(mode)
+        .option("maxRecordsPerFile", file_rows)
         .partitionBy("dt")
         .parquet(path)
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from promptward.functions import risk
 from promptward.functions.pii import PiiPattern, builtin_patterns
 from promptward.functions.similarity import builtin_seeds, seed_of
-from promptward.operators.injection import with_signals
+from promptward.operators.injection import injection_signals, with_signals
 from promptward.operators.pii import mask_pii, masked_corpus, pii_counts, pii_matches, with_masked_text
 from promptward.operators.similarity import seed_similarity, vector_check
 from promptward.operators.verdict import scan
@@ -242,3 +242,21 @@ def test_own_seeds(texts):
 
 def test_kinds_are_in_declared_order():
     assert tuple(p.type for p in builtin_patterns()) == PII_TYPES
+
+
+@pytest.mark.parametrize("unit", ["a..", "a--", ".%+", "a.%", "x@a..", "a" + "." * 40])
+def test_email_runs_in_bounded_time(texts, unit):
+    """200,000 characters of a hostile run take seconds, not minutes."""
+    import time
+
+    df = texts(["x@ " + unit * (200_000 // len(unit))], 1)
+    start = time.perf_counter()
+    pii_matches(df, "id", patterns=[p for p in builtin_patterns() if p.type == "EMAIL"]).count()
+    assert time.perf_counter() - start < 30
+
+
+def test_equal_names_keep_every_match(texts):
+    rule = Rule("X", "HIGH", "d", (r"foo",))
+    word = Keyword("bar", "HIGH", 1, "X", "d")
+    got = injection_signals(texts(["foo here", "bar here", "foo bar", "none"]), "id", rules=[rule], keywords=[word])
+    assert sorted((r.id, r.layer) for r in got.collect()) == [(0, "RULE"), (1, "KEYWORD"), (2, "RULE")]

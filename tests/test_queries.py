@@ -8,12 +8,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from promptward.plans import oracle as plan_oracle
+from promptward.plans import queries as plan_queries
 
 SF_DIR = Path("/root/testdata/sf0.001")
 TABLES = "documents events conversations labels benchmark pages".split()
 
 pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="no test tables")
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = plan_queries.QUERIES, plan_oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -41,5 +43,9 @@ def test_query(spark, duck, name):
     assert canonical(result.collect(), result.columns) == canonical(sql.fetchall(), columns)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
