@@ -82,3 +82,9 @@ def test_latest_prompt_combines_before_the_shuffle(spark):
     messages = spark.createDataFrame([], tables.CONVERSATIONS_SCHEMA)
     assert "partial_max" in plan(latest_user_prompt(messages))
     assert "Exchange" not in plan(sanitize_conversation(messages))
+
+
+def test_counts_by_risk_build_no_masked_text(docs):
+    counted = scan(docs).groupBy("risk_level").count()
+    text = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "masked_prompt" not in text and "triggered_rules" not in text
