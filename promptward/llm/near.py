@@ -41,8 +41,9 @@ CHUNKS = 64
 DAMPING = 0.25
 #: Entries of the table of random variates of one hash.
 VARIATES = 1 << 14
-#: Pivots of a bucket in the first round, and in every later one.
-PIVOTS, MORE_PIVOTS = 3, 16
+#: Pivots of a bucket in the first round and in the second; each later one takes
+#: ``GROWTH`` times as many, so the number of rounds is that of a bucket's digits.
+PIVOTS, MORE_PIVOTS, GROWTH = 3, 16, 4
 #: Shingles that are sampled together.
 TOGETHER = 1 << 16
 
@@ -204,9 +205,14 @@ def _first_pivots(members: DataFrame) -> DataFrame:
     return members.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOTS).select("bucket", F.col("key").alias("pivot"))
 
 
-def _pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Distinct pairs of a pivot and another member of its bucket."""
+def _pairs(members: DataFrame, pivots: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Distinct pairs of a pivot and a member of its bucket that is not yet in the same class."""
     met = members.select("bucket", "key").join(pivots, "bucket").filter("key != pivot")
+    if labels is not None:
+        of_key = labels.select(F.col("node").alias("key"), F.col("label").alias("key_label"))
+        of_pivot = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
+        met = met.join(of_key, "key", "left").join(of_pivot, "pivot", "left")
+        met = met.filter(F.coalesce(F.col("key_label") != F.col("pivot_label"), F.lit(True)))
     return met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
 
 
@@ -231,7 +237,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     return both.mapInArrow(run, "a BINARY, b BINARY, similarity DOUBLE")
 
 
-def _later_pivots(members: DataFrame, used: DataFrame, seen: DataFrame, labels: DataFrame, bound: float) -> DataFrame:
+def _later_pivots(members: DataFrame, used: DataFrame, seen: DataFrame, labels: DataFrame, bound: float, most: int) -> DataFrame:
     """Members that could still have an unseen link to another class of their bucket."""
     mirrored = seen.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "similarity").unionByName(
         seen.select(F.col("b").alias("key"), F.col("a").alias("pivot"), "similarity")
@@ -257,7 +263,7 @@ def _later_pivots(members: DataFrame, used: DataFrame, seen: DataFrame, labels:
         .filter(~F.col("is_pivot") & ~F.col("done") & (~F.col("covered") | F.col("reached")))
     )
     order = Window.partitionBy("bucket").orderBy(F.col("central").desc(), "key")
-    return open_members.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MORE_PIVOTS).select(
+    return open_members.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(
         "bucket", F.col("key").alias("pivot")
     )
 
@@ -265,11 +271,10 @@ def _later_pivots(members: DataFrame, used: DataFrame, seen: DataFrame, labels:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", bound: float = SIMILARITY
 ) -> DataFrame:
-    """One row per row of ``docs``: id, class_id, class_size, n_links.
+    """One row per row of ``docs``: id, class_id, class_size.
 
     ``class_id`` is the smallest id of the rows connected by similarities of at least
-    ``bound``, ``class_size`` their number and ``n_links`` the number of other texts
-    that this text was found linked to.  Rows of equal texts are in one class.  A
+    ``bound`` and ``class_size`` their number.  Rows of equal texts are in one class.  A
     text without words, a null one too, is similar to nothing but equal texts.  Rows
     without an id take part; their class has a null id only if none of its rows has
     one.  Other columns are ignored; an empty table gives no rows.
@@ -289,32 +294,30 @@ def near_duplicates(
     texts = written(texts, "texts").dropDuplicates(["key"])
 
     pivots = written(_first_pivots(members), "pivots")
-    used, seen = pivots, None
+    used, seen, labels, most = pivots, None, None, MORE_PIVOTS
     while True:
-        pairs = _pairs(members, pivots)
+        pairs = _pairs(members, pivots, labels)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         found = written(_verified(pairs, texts, weights), "verified")
         seen = found if seen is None else written(seen.unionByName(found), "verified")
         links = seen.filter(F.col("similarity") >= bound).select("a", "b")
         labels = components(links)
-        pivots = written(_later_pivots(members, used, seen, labels, bound), "pivots")
+        pivots = written(_later_pivots(members, used, seen, labels, bound, most), "pivots")
+        most *= GROWTH
         if not pivots.limit(1).count():
             break
         used = written(used.unionByName(pivots), "pivots")
 
-    both = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key")))
-    degree = both.groupBy("key").agg(F.count("*").alias("n_links"))
     labelled = written(
         rows.select("doc", "key")
         .join(labels.withColumnRenamed("node", "key").hint("merge"), "key", "left")
-        .join(degree.hint("merge"), "key", "left")
-        .select("doc", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
+        .select("doc", F.coalesce("label", "key").alias("label")),
         "labelled",
     )
     classes = labelled.groupBy("label").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_size"))
     return labelled.join(classes.hint("merge"), "label").select(
-        F.col("doc").alias(id_col), "class_id", "class_size", "n_links"
+        F.col("doc").alias(id_col), "class_id", "class_size"
     )
 
 
