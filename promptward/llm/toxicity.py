@@ -30,6 +30,8 @@ from promptward.llm.pieces import _Remembered
 SAMPLE = 10_000
 #: Examples of each label in the index, at most.
 EXAMPLES = 2_000
+#: Sample rows of each label that the votes are calibrated on, at most.
+CALIBRATION = 1_000
 #: Terms, at most, and the least normal deviate of a term's share.
 TERMS = 2_048
 DEVIATE = 6.0
@@ -104,14 +106,17 @@ class Index:
         if not len(terms) or not self.bounds.shape[1]:
             return []
         bound = weights @ self.bounds[terms]
-        best: list[tuple[float, int]] = []
+        cosines, numbers = np.zeros(0), np.zeros(0, dtype=np.int64)
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == NEIGHBOURS and bound[b] < best[-1][0]):
+            if bound[b] <= 0 or (len(cosines) == NEIGHBOURS and bound[b] < cosines[-1]):
                 break
-            cosines = self.matrix[b * BLOCK : (b + 1) * BLOCK, terms] @ weights
-            found = [(float(c), b * BLOCK + i) for i, c in enumerate(cosines.tolist()) if c > 0 and b * BLOCK + i != without]
-            best = sorted(best + found, key=lambda x: (-round(x[0], 9), x[1]))[:NEIGHBOURS]
-        return best
+            found = np.round(self.matrix[b * BLOCK : (b + 1) * BLOCK, terms] @ weights, 9)
+            hit = np.flatnonzero(found > 0)
+            hit = hit[hit + b * BLOCK != without]
+            cosines, numbers = np.append(cosines, found[hit]), np.append(numbers, hit + b * BLOCK)
+            order = np.lexsort((numbers, -cosines))[:NEIGHBOURS]
+            cosines, numbers = cosines[order], numbers[order]
+        return list(zip(cosines.tolist(), numbers.tolist()))
 
     def vote(self, neighbours: list[tuple[float, int]]) -> float:
         """Share of toxic votes, each weighted by distance and for the sampling of its label."""
@@ -268,8 +273,12 @@ def build_index(vocabulary: list[str], idf: np.ndarray, rows: list, totals: dict
     weight = scale * np.divide(with_vector, held, out=np.zeros(2), where=held > 0)
     index.class_weight = weight / max(weight.max(), 1e-12)
     place = {i: at for at, i in enumerate(used)}
-    votes = np.array([index.vote(index.nearest(*v, without=place.get(i, -1))) for i, v in enumerate(vectors)])
-    index.calibrate(votes, known, scale[known] if rows else np.zeros(0))
+    # Rows are in order of their ids; every n-th of each label is enough for the bins.
+    tried = [i for y in (0, 1) for i in np.flatnonzero(known == y)[:: -(-int(sampled[y]) // CALIBRATION) or 1].tolist()]
+    votes = np.array([index.vote(index.nearest(*vectors[i], without=place.get(i, -1))) for i in tried])
+    of_tried = np.bincount(known[tried], minlength=2) if tried else np.zeros(2)
+    share = np.divide(full, of_tried, out=np.zeros(2), where=of_tried > 0)
+    index.calibrate(votes, known[tried], share[known[tried]] if tried else np.zeros(0))
     return index
 
 
