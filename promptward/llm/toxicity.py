@@ -128,12 +128,14 @@ class Index:
         return toxic / weight
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
-        """Observed rates by bins of the vote, made non-decreasing."""
-        order = np.argsort(votes, kind="stable")
-        groups = [g for g in np.array_split(order, BINS) if len(g)]
+        """Observed rates by bins of the vote, made non-decreasing; equal votes share a bin."""
+        values, of = np.unique(np.round(votes, 6), return_inverse=True)
+        sums = [np.bincount(of, w, minlength=len(values)) for w in (weights, weights * labels, np.ones(len(votes)))]
+        bins = (np.cumsum(sums[2]) - sums[2]) // max(1.0, len(votes) / BINS)
         pools: list[list[float]] = []  # weight, toxic weight, largest vote
-        for g in groups:
-            pools.append([weights[g].sum(), (weights[g] * labels[g]).sum(), votes[g[-1]]])
+        for b in np.unique(bins):
+            g = bins == b
+            pools.append([sums[0][g].sum(), sums[1][g].sum(), values[g].max()])
             while len(pools) > 1 and pools[-2][1] / pools[-2][0] >= pools[-1][1] / pools[-1][0]:
                 w, t, top = pools.pop()
                 pools[-1] = [pools[-1][0] + w, pools[-1][1] + t, top]
@@ -141,7 +143,7 @@ class Index:
         self.rates = np.array([(p[1] + 0.5) / (p[0] + 1) for p in pools]) if pools else np.array([self.prior])
 
     def score(self, vote: float) -> float:
-        return float(self.rates[np.searchsorted(self.cuts, vote, side="left")])
+        return float(self.rates[np.searchsorted(self.cuts, round(vote, 6), side="left")])
 
 
 def _sample(labels: DataFrame, id_col: str, label: str, held_out) -> DataFrame:
