@@ -37,6 +37,8 @@ TERMS = 2_048
 DEVIATE = 6.0
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks of the largest bounds that a search looks at before it bounds the others.
+FIRST_BLOCKS = 8
 #: Votes at distance d weigh 1 / (SOFT + d); the prior weighs as one vote at distance 1.
 SOFT = 0.05
 BINS = 20
@@ -78,11 +80,12 @@ class Index:
     def __init__(self, vocabulary: list[str], idf: np.ndarray, ids: list[int], labels: np.ndarray, weights: np.ndarray):
         self.vocabulary, self.idf = vocabulary, idf
         self.ids, self.labels, self.class_weight = ids, labels, np.zeros(2)
-        self.matrix = weights
         n_blocks = -(-len(ids) // BLOCK)
-        self.bounds = np.stack(
-            [weights[b * BLOCK : (b + 1) * BLOCK].max(axis=0) for b in range(n_blocks)], axis=1
-        ) if n_blocks else np.zeros((len(vocabulary), 0), dtype=np.float32)
+        padded = np.zeros((len(vocabulary), n_blocks * BLOCK), dtype=np.float32)
+        padded[:, : len(ids)] = weights.T
+        #: Weights by term, block and place in the block, and the largest of each block.
+        self.postings = padded.reshape(len(vocabulary), n_blocks, BLOCK)
+        self.bounds = self.postings.max(axis=2)
         self.prior = 0.0
         self.cuts, self.rates = np.zeros(0), np.zeros(1)
 
@@ -106,16 +109,21 @@ class Index:
         if not len(terms) or not self.bounds.shape[1]:
             return []
         bound = weights @ self.bounds[terms]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         cosines, numbers = np.zeros(0), np.zeros(0, dtype=np.int64)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(cosines) == NEIGHBOURS and bound[b] < cosines[-1]):
-                break
-            found = np.round(self.matrix[b * BLOCK : (b + 1) * BLOCK, terms] @ weights, 9)
-            hit = np.flatnonzero(found > 0)
-            hit = hit[hit + b * BLOCK != without]
-            cosines, numbers = np.append(cosines, found[hit]), np.append(numbers, hit + b * BLOCK)
-            order = np.lexsort((numbers, -cosines))[:NEIGHBOURS]
-            cosines, numbers = cosines[order], numbers[order]
+        visit = order[:FIRST_BLOCKS]
+        while len(visit):
+            found = np.round(np.tensordot(weights, self.postings[np.ix_(terms, visit)], 1), 9).ravel()
+            places = (visit[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            hit = (found > 0) & (places != without)
+            cosines, numbers = np.append(cosines, found[hit]), np.append(numbers, places[hit])
+            best = np.lexsort((numbers, -cosines))[:NEIGHBOURS]
+            cosines, numbers = cosines[best], numbers[best]
+            order = order[len(visit) :]
+            # Only blocks whose bound reaches the last neighbour so far can hold a better one.
+            least = cosines[-1] if len(cosines) == NEIGHBOURS else 0.0
+            visit = order = order[bound[order] >= least - 1e-6]
         return list(zip(cosines.tolist(), numbers.tolist()))
 
     def vote(self, neighbours: list[tuple[float, int]]) -> float:
