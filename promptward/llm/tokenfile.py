@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptward.llm.common import new_folder, text_or_empty
-from promptward.llm.pieces import _Remembered
+from promptward.llm.pieces import LONGEST, _Remembered
 
 #: Fixed values of the zstandard frame formats.
 SKIPPABLE = 0x184D2A50
@@ -38,7 +38,9 @@ CHECKSUM_FLAG = 0x80
 
 #: A file is closed when its frames reach this size.
 FILE_BYTES = 256 << 20
-LEVEL = 3
+LEVEL = 1
+#: Documents whose new words are encoded together.
+TOGETHER = 512
 #: ASCII punctuation that a tokenizer for words never joins with a letter.
 EDGE = b".,!?;:%*&$#"
 
@@ -130,31 +132,68 @@ class WordEncoder:
     White space of ASCII ends every token, so a text has the ids of its words in a
     row, and words are encoded once and remembered.  Punctuation at the end of a
     word is split off, but not where an apostrophe, a special token or a sigma,
-    whose lower case depends on what follows, could make a difference.
+    whose lower case depends on what follows, could make a difference.  New words of
+    letters alone are encoded together: each ends at a token of the word-end kind.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
+        vocabulary = self.tool.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.parts = _Remembered(self._ids)
         self.words = _Remembered(self._word)
+        self.cuts: dict[bytes, tuple[bytes, bytes]] = {}
 
     def _ids(self, word: bytes) -> bytes:
         ids = self.tool.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _word(self, word: bytes) -> bytes:
+    @staticmethod
+    def _cut(word: bytes) -> tuple[bytes, bytes]:
+        """A word without and with the punctuation at its end."""
+        if word.isalpha():
+            return word.lower(), b""
         if b"'" in word or b"<|" in word or b"\xce\xa3" in word:
-            return self.parts[word]
+            return word, b""
         word = word.lower()
         head = word.rstrip(EDGE)
         if len(head) < len(word) and head.decode("utf-8")[-1:].lower()[-1:].isalnum():
-            return self.parts[head] + self.parts[word[len(head) :]]
-        return self.parts[word]
+            return head, word[len(head) :]
+        return word, b""
+
+    def _word(self, word: bytes) -> bytes:
+        head, tail = self.cuts.pop(word, None) or self._cut(word)
+        return self.parts[head] + self.parts[tail] if tail else self.parts[head]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Encode the new ones among plain words together."""
+        parts = self.parts
+        fresh = [w for w in words if w not in self.words.older]
+        self.cuts = dict(zip(fresh, map(self._cut, fresh)))
+        heads = {h for h, _ in self.cuts.values()}
+        heads = [h for h in heads - parts.keys() - parts.older.keys() if len(h) <= LONGEST]
+        plain = [h for h in heads if h.isalpha() or h.decode("utf-8").isalpha()]
+        if not plain:
+            return
+        joined = b" ".join(plain).decode("utf-8")
+        ids = np.array(self.tool.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(plain):  # some letter is taken apart; such words are encoded one by one
+            return
+        packed, at = ids.tobytes(), [0, *(4 * last).tolist()]
+        parts.update(zip(plain, map(packed.__getitem__, map(slice, at, at[1:]))))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [t.encode("utf-8").split() for t in texts]
+        self._learn(set().union(*split) - self.words.keys())
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.encode("utf-8").split()))
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -202,14 +241,16 @@ def write_token_files(
             done.append((part, len(done), path, len(writer.doc_ids), writer.ids, writer.bytes))
 
         for batch in batches:
-            for doc_id, words in zip(batch.column(0), batch.column(1)):
-                if writer is None:
-                    path = f"{folder}/files/{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.zst"
-                    writer = TokenFileWriter(path)
-                writer.add(doc_id.as_py(), tool.encode(words.as_py()) + end)
-                if writer.bytes >= file_bytes:
-                    close()
-                    writer = None
+            for low in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(low, TOGETHER)
+                for doc_id, ids in zip(some.column(0).to_pylist(), tool.encode_all(some.column(1).to_pylist())):
+                    if writer is None:
+                        path = f"{folder}/files/{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.zst"
+                        writer = TokenFileWriter(path)
+                    writer.add(doc_id, ids + end)
+                    if writer.bytes >= file_bytes:
+                        close()
+                        writer = None
         if writer is not None:
             close()
         names = ["part", "piece", "path", "documents", "ids", "bytes"]
