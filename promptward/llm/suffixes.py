@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +30,8 @@ GRAM = 64
 FIRST = 8
 #: Classes that one task refines at a time, about 800 bytes each.
 BUCKET = 2048
+#: Ranges that the anchor places of a larger bucket are cut into.
+FAN = 8
 _CLASS = ["c1", "c2"]
 
 
@@ -104,15 +105,17 @@ def _contents(rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 
 
 def _split(buckets: DataFrame, width: int) -> DataFrame:
-    """Halve the anchor places of every bucket and refine it by the bytes all its windows share.
+    """Cut the anchor places of every bucket into ``FAN`` ranges and refine it by the bytes all its windows share.
 
     A window whose anchor stands ``o`` bytes after its start covers the bytes from
     ``place - o`` on; for places from ``low`` to ``high`` those from ``place - low``
     to ``place - high + width - 1`` are in every window.
     """
-    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    step = F.ceil((F.col("high") - F.col("low") + 1) / FAN).cast("int")
 
-    def half(low: Column, high: Column) -> Column:
+    def share(i: int) -> Column:
+        low = F.col("low") + i * step
+        high = F.least(F.col("high"), low + step - 1)
         shared = F.substring(
             F.col("content"), F.col("place") - low + 1, F.lit(width) - (high - low)
         )
@@ -122,11 +125,11 @@ def _split(buckets: DataFrame, width: int) -> DataFrame:
             high.alias("high"),
         )
 
-    halves = F.array(half(F.col("low"), middle), half(middle + 1, F.col("high")))
     part = F.col("part")
     return (
         buckets.select(*_CLASS, "times", "content", "place", "n", "low", "high", "bucket")
-        .withColumn("part", F.explode(halves))
+        .withColumn("part", F.explode(F.array(*[share(i) for i in range(FAN)])))
+        .filter(part["low"] <= part["high"])
         # Windows of the class start at 0 to n - 1, so their anchor places are place - n + 1 to place.
         .filter((part["low"] <= F.col("place")) & (part["high"] >= F.col("place") - F.col("n") + 1))
         .select(*_CLASS, "times", "content", "place", "n", part["low"].alias("low"), part["high"].alias("high"), part["bucket"].alias("bucket"))
@@ -139,6 +142,36 @@ def _window_range() -> tuple[Column, Column]:
     return first, F.least(F.col("n") - 1, F.col("place") - F.col("low"))
 
 
+def _settler(width: int):
+    """Refines sorted rows of small buckets, some whole buckets at a time.
+
+    Equal windows are always in one bucket, so buckets need not be told apart.
+    """
+
+    def settle(rows: list[tuple]) -> pa.RecordBatch:
+        _, c1, c2, contents, firsts, lasts = zip(*rows)
+        found = refine(list(contents), np.array(firsts), np.array(lasts), width)
+        out = [(a, b, x["from"], x["to"]) for a, b, f in zip(c1, c2, found) for x in intervals(f)]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        columns = list(zip(*out)) or [()] * 4
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["c1", "c2", "from", "to"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(held) >= BUCKET and held[-1][0] != row[0]:
+                    yield settle(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield settle(held)
+
+    return run
+
+
 def _refined(buckets: DataFrame, width: int) -> DataFrame:
     """Repeated windows of every class of the branching buckets: c1, c2, from, to."""
     results: list[DataFrame] = []
@@ -149,17 +182,11 @@ def _refined(buckets: DataFrame, width: int) -> DataFrame:
         )
         small = sized.filter(F.col("classes") <= BUCKET)
 
-        def settle(group: pd.DataFrame) -> pd.DataFrame:
-            found = refine(
-                list(group["content"]), group["first_window"].to_numpy(), group["last_window"].to_numpy(), width
-            )
-            rows = [(a, b, x["from"], x["to"]) for a, b, f in zip(group["c1"], group["c2"], found) for x in intervals(f)]
-            return pd.DataFrame(rows, columns=["c1", "c2", "from", "to"])
-
         results.append(
-            small.select(*_CLASS, "bucket", "content", first.alias("first_window"), last.alias("last_window"))
-            .groupBy("bucket")
-            .applyInPandas(settle, "c1 BIGINT, c2 BIGINT, `from` INT, `to` INT")
+            small.select("bucket", *_CLASS, "content", first.alias("first_window"), last.alias("last_window"))
+            .repartition("bucket")
+            .sortWithinPartitions("bucket")
+            .mapInArrow(_settler(width), "c1 BIGINT, c2 BIGINT, `from` INT, `to` INT")
         )
         large = sized.filter(F.col("classes") > BUCKET)
         # One anchor place left: the windows of such a bucket are equal.

@@ -16,7 +16,8 @@ import numpy as np
 PLACE_BITS = 20
 #: Longer sequences are cut into overlapping pieces of this many units.
 PIECE = 1 << 19
-_FACTOR = np.uint64(0x9E3779B97F4A7C15 | 5)
+FACTOR = 0xD6E8FEB86659FD93
+INVERSE = pow(FACTOR, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,11 +30,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, factor: int) -> np.ndarray:
-    """``factor ** i`` modulo 2**64 for i below n."""
-    out = np.full(max(n, 1), factor, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """``factor ** i`` modulo 2**64 for i below n; those of usual texts are kept."""
+    known = _POWERS.get(factor)
+    if known is None or len(known) < n:
+        out = np.full(max(n, 1 << 16), factor, dtype=np.uint64)
+        out[0] = 1
+        known = np.multiply.accumulate(out)
+        if len(known) <= 2 * PIECE:
+            _POWERS[factor] = known
+    return known[:n]
 
 
 def word_spans(data: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,25 +63,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, factor:
 
 
 def kmer_hashes(units: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k consecutive unit values, by doubling."""
-    out, length, factor = units, 1, _FACTOR
-    done: np.ndarray | None = None
-    covered = 0
-    rest = k
-    while rest:
-        if rest & 1:
-            if done is None:
-                done = out
-            else:
-                n = len(units) - covered - length + 1
-                done = done[:n] * factor + mix(out[covered : covered + n])
-            covered += length
-        rest >>= 1
-        if rest:
-            n = len(out) - length
-            out = mix(out[:n] * factor + out[length : length + n])
-            length *= 2
-    return mix(done)
+    """Hashes of all k consecutive unit values, from prefix sums of a polynomial."""
+    n = len(units)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(units * powers(n, FACTOR), out=total[1:])
+    return mix((total[k:] - total[: n + 1 - k]) * powers(n + 1 - k, INVERSE))
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
