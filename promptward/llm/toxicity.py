@@ -1,11 +1,12 @@
 """Toxicity scores from the nearest labelled examples, by exact TF-IDF cosine.
 
 Fitting takes a bounded sample of the labelled rows (``SAMPLE`` per label), near copies
-counted once, and picks the terms whose share differs between the labels beyond
-chance.  Document frequencies of those terms are counted over all documents.  The
-examples form an inverted index in blocks: for every term and block the largest
-weight is kept, so the blocks of a query are visited in order of their bound and
-the search ends as soon as no block left can reach the k-th best cosine.  The
+counted once.  All terms of the examples enter the vectors; each weighs its TF-IDF times
+the normal deviate of its share between the labels, 1 at least.  Document frequencies
+are counted over all documents.  The examples form an inverted index in blocks: rare
+terms are added up from their lists, and for every common term and block the largest
+weight is kept, so the blocks of a query are visited in order of their bound and the
+search ends as soon as no example left can reach the k-th best cosine.  The
 neighbours are exact.  They vote with a weight that falls with their distance;
 votes are corrected for the sampling and calibrated on the sample itself, each
 example searched without itself.
@@ -32,13 +33,13 @@ SAMPLE = 10_000
 EXAMPLES = 2_000
 #: Sample rows of each label that the votes are calibrated on, at most.
 CALIBRATION = 1_000
-#: Terms, at most, and the least normal deviate of a term's share.
-TERMS = 2_048
-DEVIATE = 6.0
 NEIGHBOURS = 15
 BLOCK = 64
-#: Blocks of the largest bounds that a search looks at before it bounds the others.
-FIRST_BLOCKS = 8
+#: A term of more than one in so many examples has a column instead of a list.
+COMMON = 16
+#: Blocks that a search looks at before it bounds the others anew, and more than single precision loses.
+TOGETHER = 16
+SLACK = 1e-5
 #: Votes at distance d weigh 1 / (SOFT + d); the prior weighs as one vote at distance 1.
 SOFT = 0.05
 BINS = 20
@@ -58,11 +59,20 @@ def terms_of(chunk: str) -> list[str]:
     return out
 
 
+def unit_vector(values: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in ascending order and their weights."""
+    order = np.argsort(terms)
+    terms = terms[order]
+    weights = (1 + np.log(counts[order])) * values[terms]
+    norm = np.sqrt((weights**2).sum())
+    return terms, weights / norm if norm else weights
+
+
 class Terms:
-    """Counts of the chosen terms in a text."""
+    """Counts of the numbered terms in a text."""
 
-    def __init__(self, vocabulary: list[str]):
-        self.numbers = {t: i for i, t in enumerate(vocabulary)}
+    def __init__(self, numbers: dict[str, int]):
+        self.numbers = numbers
         self.known = _Remembered(lambda c: tuple(self.numbers[t] for t in terms_of(c) if t in self.numbers))
 
     def counts(self, text: str) -> dict[int, int]:
@@ -74,20 +84,45 @@ class Terms:
         return found
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and the range of each."""
+    counts = ends - starts
+    of = np.repeat(np.arange(len(counts)), counts)
+    return np.arange(len(of)) + (starts - np.cumsum(counts) + counts)[of], of
+
+
 class Index:
-    """Examples as unit vectors, in blocks with the largest weight of every term."""
+    """Examples as unit vectors, in blocks of ``BLOCK``.
+
+    Rare terms have lists of the examples that hold them.  Terms of more than one in
+    ``COMMON`` examples are columns of a matrix, with their largest weight in every block.
+    """
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, ids: list[int], labels: np.ndarray, weights: np.ndarray):
-        self.vocabulary, self.idf = vocabulary, idf
+    def __init__(self, numbers: dict[str, int], values: np.ndarray, ids: list[int], labels: np.ndarray, vectors: list):
+        self.numbers, self.values = numbers, values
         self.ids, self.labels, self.class_weight = ids, labels, np.zeros(2)
-        n_blocks = -(-len(ids) // BLOCK)
-        padded = np.zeros((len(vocabulary), n_blocks * BLOCK), dtype=np.float32)
-        padded[:, : len(ids)] = weights.T
-        #: Weights by term, block and place in the block, and the largest of each block.
-        self.postings = padded.reshape(len(vocabulary), n_blocks, BLOCK)
-        self.bounds = self.postings.max(axis=2)
         self.prior = 0.0
         self.cuts, self.rates = np.zeros(0), np.zeros(1)
+        self.n_blocks = -(-len(ids) // BLOCK)
+        sizes = np.array([len(v[0]) for v in vectors], dtype=np.int64)
+        terms = np.concatenate([np.zeros(0, dtype=np.int32), *[v[0] for v in vectors]]).astype(np.int32)
+        weights = np.concatenate([np.zeros(0, dtype=np.float32), *[v[1] for v in vectors]]).astype(np.float32)
+        places = np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)
+        held = np.bincount(terms, minlength=len(values))
+        #: Column of a common term, -1 for others.
+        self.column = np.full(len(values), -1, dtype=np.int32)
+        common = np.flatnonzero(held * COMMON > len(vectors))
+        self.column[common] = np.arange(len(common))
+        dense = self.column[terms] >= 0
+        #: Weights of common terms by column, block and place in the block, and the largest of each block.
+        self.matrix = np.zeros((len(common), self.n_blocks, BLOCK), dtype=np.float32)
+        self.matrix[self.column[terms[dense]], places[dense] // BLOCK, places[dense] % BLOCK] = weights[dense]
+        self.bounds = self.matrix.max(axis=2)
+        terms, places, weights = terms[~dense], places[~dense], weights[~dense]
+        order = np.argsort(terms, kind="stable")
+        self.places, self.weights = places[order], weights[order]
+        #: Where the list of a term starts; it ends where the next one starts.
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(values)))])
 
     @classmethod
     def of(cls, values: dict) -> Index:
@@ -98,32 +133,37 @@ class Index:
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a unit vector."""
-        terms = np.array(sorted(counts), dtype=np.int64)
-        tf = np.array([counts[t] for t in terms.tolist()], dtype=np.float64)
-        weights = (1 + np.log(tf)) * self.idf[terms] if len(terms) else tf
-        norm = np.sqrt((weights**2).sum())
-        return terms, weights / norm if norm else weights
+        return unit_vector(self.values, np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts)))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
         """The ``NEIGHBOURS`` examples of largest positive cosine, as (cosine, example)."""
-        if not len(terms) or not self.bounds.shape[1]:
+        if not len(terms) or not self.n_blocks:
             return []
-        bound = weights @ self.bounds[terms]
+        column = self.column[terms]
+        of_common, of_rare = weights[column >= 0].astype(np.float32), weights[column < 0]
+        rare, common = terms[column < 0], column[column >= 0]
+        at, of = _ranges(self.starts[rare], self.starts[rare + 1])
+        by_rare = np.bincount(self.places[at], self.weights[at] * of_rare[of], self.n_blocks * BLOCK)
+        by_rare = by_rare.reshape(-1, BLOCK)
+        bound = by_rare.max(axis=1) + np.einsum("t,tb->b", of_common, self.bounds[common]) + SLACK
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        cosines, numbers = np.zeros(0), np.zeros(0, dtype=np.int64)
-        visit = order[:FIRST_BLOCKS]
-        while len(visit):
-            found = np.round(np.tensordot(weights, self.postings[np.ix_(terms, visit)], 1), 9).ravel()
+        near, numbers, least = np.zeros(0), np.zeros(0, dtype=np.int64), 0.0
+        while len(order):
+            visit, order = order[:TOGETHER], order[TOGETHER:]
+            found = (by_rare[visit] + np.einsum("t,tbp->bp", of_common, self.matrix[np.ix_(common, visit)])).ravel()
             places = (visit[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            hit = (found > 0) & (places != without)
-            cosines, numbers = np.append(cosines, found[hit]), np.append(numbers, places[hit])
-            best = np.lexsort((numbers, -cosines))[:NEIGHBOURS]
-            cosines, numbers = cosines[best], numbers[best]
-            order = order[len(visit) :]
+            hit = (found > 0) & (found >= least) & (places != without)
+            near, numbers = np.append(near, found[hit]), np.append(numbers, places[hit])
+            if len(near) >= NEIGHBOURS:
+                least = np.partition(near, -NEIGHBOURS)[-NEIGHBOURS] - SLACK
+                near, numbers = near[near >= least], numbers[near >= least]
             # Only blocks whose bound reaches the last neighbour so far can hold a better one.
-            least = cosines[-1] if len(cosines) == NEIGHBOURS else 0.0
-            visit = order = order[bound[order] >= least - 1e-6]
+            order = order[bound[order] >= least]
+        # Those found in single precision, and all within its rounding, in double precision.
+        exact = np.einsum("t,tp->p", of_common.astype(np.float64), self.matrix[common[:, None], numbers // BLOCK, numbers % BLOCK])
+        cosines = np.round(by_rare.ravel()[numbers] + exact, 9)
+        best = np.lexsort((numbers, -cosines))[:NEIGHBOURS]
+        cosines, numbers = cosines[best], numbers[best]
         return list(zip(cosines.tolist(), numbers.tolist()))
 
     def vote(self, neighbours: list[tuple[float, int]]) -> float:
@@ -140,14 +180,15 @@ class Index:
         values, of = np.unique(np.round(votes, 6), return_inverse=True)
         sums = [np.bincount(of, w, minlength=len(values)) for w in (weights, weights * labels, np.ones(len(votes)))]
         bins = (np.cumsum(sums[2]) - sums[2]) // max(1.0, len(votes) / BINS)
-        pools: list[list[float]] = []  # weight, toxic weight, largest vote
+        pools: list[list[float]] = []  # weight, toxic weight, largest and least vote
         for b in np.unique(bins):
             g = bins == b
-            pools.append([sums[0][g].sum(), sums[1][g].sum(), values[g].max()])
+            pools.append([sums[0][g].sum(), sums[1][g].sum(), values[g].max(), values[g].min()])
             while len(pools) > 1 and pools[-2][1] / pools[-2][0] >= pools[-1][1] / pools[-1][0]:
-                w, t, top = pools.pop()
-                pools[-1] = [pools[-1][0] + w, pools[-1][1] + t, top]
-        self.cuts = np.array([p[2] for p in pools[:-1]])
+                w, t, top, _ = pools.pop()
+                pools[-1] = [pools[-1][0] + w, pools[-1][1] + t, top, pools[-1][3]]
+        # Votes that the sample does not have belong to the nearer bin.
+        self.cuts = np.array([(p[2] + after[3]) / 2 for p, after in zip(pools, pools[1:])])
         self.rates = np.array([(p[1] + 0.5) / (p[0] + 1) for p in pools]) if pools else np.array([self.prior])
 
     def score(self, vote: float) -> float:
@@ -202,42 +243,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     toxic, clean = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
-    share = (F.col("toxic") + F.col("clean")) / F.lit(float(n0 + n1))
-    deviate = (F.col("toxic") / F.lit(float(max(n1, 1))) - F.col("clean") / F.lit(float(max(n0, 1)))) / F.sqrt(
-        share * (1 - share) * F.lit(1 / max(n1, 1) + 1 / max(n0, 1)) + F.lit(1e-12)
-    )
-    ranked = (
+    held = (
         texts.mapInArrow(spread, "term STRING, label INT")
         .groupBy("term")
         .agg(toxic.alias("toxic"), clean.alias("clean"))
-        .withColumn("deviate", F.abs(deviate))
-        .filter(F.col("deviate") >= DEVIATE)
-        .orderBy(F.col("deviate").desc(), "term")
-        .limit(TERMS)
+        .orderBy("term")
+        .toArrow()  # the terms of at most 2 * SAMPLE texts
     )
-    vocabulary = sorted(r["term"] for r in ranked.select("term").collect())
+    numbers = {t: i for i, t in enumerate(held.column("term").to_pylist())}
+    by_label = [held.column(c).to_numpy() / max(n, 1) for c, n in (("toxic", n1), ("clean", n0))]
+    share = (held.column("toxic").to_numpy() + held.column("clean").to_numpy()) / max(n0 + n1, 1)
+    spread_of_share = np.sqrt(share * (1 - share) * (1 / max(n1, 1) + 1 / max(n0, 1)) + 1e-12)
+    deviate = (by_label[0] - by_label[1]) / spread_of_share
+    vocabulary = docs.sparkSession.sparkContext.broadcast(numbers)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, df, n = Terms(vocabulary), np.zeros(len(vocabulary), dtype=np.int64), 0
+        numbers = vocabulary.value
+        tool, df, n = Terms(numbers), np.zeros(len(numbers), dtype=np.int64), 0
         for batch in batches:
             for t in batch.column(0):
-                for term in tool.counts(t.as_py()):
-                    df[term] += 1
+                found = tool.counts(t.as_py())
+                df[np.fromiter(found, np.int64, len(found))] += 1
             n += batch.num_rows
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], n))], names=["term", "n"]
         )
 
-    counts = body.select("text").mapInArrow(frequencies, "term BIGINT, n BIGINT").groupBy("term").agg(F.sum("n"))
-    found = dict(counts.collect())  # at most TERMS rows and the total
-    total = found.pop(-1, 0)
-    df = np.array([found.get(i, 0) for i in range(len(vocabulary))], dtype=np.float64)
-    idf = np.log((1 + total) / (1 + df)) + 1
+    counts = body.select("text").mapInArrow(frequencies, "term BIGINT, n BIGINT").groupBy("term").agg(F.sum("n").alias("n"))
+    found = counts.toArrow()  # a row for each term, and the total
+    term, n = found.column("term").to_numpy(), found.column("n").to_numpy()
+    df = np.zeros(len(numbers) + 1)
+    df[term] = n  # the total is the last one
+    # A term that tells the labels apart weighs more; none is without weight.
+    values = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.hypot(1, deviate)
 
-    # Examples of either label in order of a hash of the id; bounded by 2 * SAMPLE texts' counts.
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Terms(vocabulary)
+        tool = Terms(vocabulary.value)
         for batch in batches:
             counts = [tool.counts(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -250,34 +292,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                 names=["id", "label", "terms", "counts"],
             )
 
-    rows = sorted(
-        texts.mapInArrow(vectors, "id BIGINT, label INT, terms ARRAY<INT>, counts ARRAY<INT>").collect(),
-        key=lambda r: r["id"],
-    )
-    return build_index(vocabulary, idf, rows, totals)
+    # The counts of at most 2 * SAMPLE texts.
+    rows = texts.mapInArrow(vectors, "id BIGINT, label INT, terms ARRAY<INT>, counts ARRAY<INT>").toArrow()
+    return build_index(numbers, values, rows.sort_by([("id", "ascending"), ("label", "ascending")]), totals)
 
 
-def build_index(vocabulary: list[str], idf: np.ndarray, rows: list, totals: dict[int, int]) -> Index:
+def build_index(numbers: dict[str, int], values: np.ndarray, rows: pa.Table, totals: dict[int, int]) -> Index:
     """The index and its calibration from the counted sample rows."""
-    empty = Index(vocabulary, idf, [], np.zeros(0, dtype=np.int64), np.zeros((0, len(vocabulary)), dtype=np.float32))
-    vectors = [empty.vector(dict(zip(r["terms"], r["counts"]))) for r in rows]
+    ids, known = rows.column("id").to_pylist(), rows.column("label").to_numpy().astype(np.int64)
+    vectors = [
+        unit_vector(values, t.values.to_numpy(), c.values.to_numpy()) for t, c in zip(rows.column("terms"), rows.column("counts"))
+    ]
+    vectors = [(t, w.astype(np.float32)) for t, w in vectors]
     left, used = {0: EXAMPLES, 1: EXAMPLES}, []
-    for i, (r, v) in enumerate(zip(rows, vectors)):
-        if len(v[0]) and left[r["label"]]:
-            left[r["label"]] -= 1
+    for i, (y, v) in enumerate(zip(known.tolist(), vectors)):
+        if len(v[0]) and left[y]:
+            left[y] -= 1
             used.append(i)
-    # Examples with the same leading terms stand together, so that block bounds are tight.
-    used.sort(key=lambda i: (vectors[i][0][np.argmax(vectors[i][1])], rows[i]["id"]))
-    matrix = np.zeros((len(used), len(vocabulary)), dtype=np.float32)
-    for at, i in enumerate(used):
-        matrix[at, vectors[i][0]] = vectors[i][1]
-    labels = np.array([rows[i]["label"] for i in used], dtype=np.int64)
-    index = Index(vocabulary, idf, [rows[i]["id"] for i in used], labels, matrix)
-    known = np.array([r["label"] for r in rows], dtype=np.int64)
+    held = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *[vectors[i][0] for i in used]]), minlength=len(values))
+    common = held * COMMON > len(used)
+
+    def leading(i: int) -> tuple[list[int], int]:
+        terms, weights = (x[common[vectors[i][0]]] for x in vectors[i])
+        return terms[np.argsort(-weights, kind="stable")[:3]].tolist(), ids[i]
+
+    # Examples with the same leading common terms stand together, so that block bounds are tight.
+    used.sort(key=leading)
+    labels = known[used]
+    index = Index(numbers, values, [ids[i] for i in used], labels, [vectors[i] for i in used])
     sampled = np.bincount(known, minlength=2)
     full = np.array([totals.get(0, 0), totals.get(1, 0)], dtype=np.float64)
     index.prior = float(full[1] / full.sum()) if full.sum() else 0.0
-    with_vector = np.bincount(known[[len(v[0]) > 0 for v in vectors]], minlength=2) if rows else np.zeros(2)
+    with_vector = np.bincount(known[np.array([len(v[0]) > 0 for v in vectors], dtype=bool)], minlength=2)
     held = np.bincount(labels, minlength=2)
     scale = np.divide(full, sampled, out=np.zeros(2), where=sampled > 0)
     weight = scale * np.divide(with_vector, held, out=np.zeros(2), where=held > 0)
@@ -303,12 +349,12 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     new = ("score", "predicted", "evidence")
     kept = [c for c in docs.columns if c not in new]
     at = kept.index(text)
-    model = docs.sparkSession.sparkContext.broadcast(vars(index))  # bounded by EXAMPLES and TERMS
+    model = docs.sparkSession.sparkContext.broadcast(vars(index))  # bounded by EXAMPLES and their terms
     item = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index.of(model.value)
-        tool = Terms(index.vocabulary)
+        tool = Terms(index.numbers)
         for batch in batches:
             scores, evidence = [], []
             for t in batch.column(at):

@@ -19,7 +19,7 @@ from promptward.llm.pieces import PieceCodec, encode_decode
 from promptward.llm.shards import pack
 from promptward.llm.suffixes import drop_repeated_bytes, refine
 from promptward.llm.tokenfile import TokenFileReader, TokenFileWriter, WordEncoder, read_token_files, write_token_files
-from promptward.llm.toxicity import drop_toxic, fit, score
+from promptward.llm.toxicity import Terms, drop_toxic, fit, score, terms_of
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -222,6 +222,27 @@ def test_toxicity(spark, empty):
     assert none.count() == 0
 
 
+def test_toxicity_by_rare_terms(spark):
+    """Marking words of three toxic texts each, and neighbours against a full scan of all terms."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(200)]
+    rows = []
+    for i in range(600):
+        text = [rng.choice(words) for _ in range(12)]
+        rows.append((i, " ".join([*text, f"mark{chr(97 + i // 9 % 26)}{chr(97 + i // 9 // 26)}"] if i % 3 == 0 else text)))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    index = fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id BIGINT, toxic INT"))
+    tool = Terms(index.numbers)
+    vectors = {i: dict(zip(*map(np.ndarray.tolist, index.vector(tool.counts(t))))) for i, t in rows}
+    assert all(set(tool.counts(dict(rows)[i])) == {index.numbers[x] for c in dict(rows)[i].split() for x in terms_of(c)} for i in index.ids)
+    for i in range(0, 600, 7):
+        cosines = [sum(w * vectors[i].get(t, 0) for t, w in vectors[j].items()) for j in index.ids]
+        near = index.nearest(*index.vector(tool.counts(dict(rows)[i])))
+        assert np.allclose([c for c, _ in near], sorted(cosines, reverse=True)[: len(near)], atol=1e-5) and len(near) == 15
+    got = {r.doc_id: r.predicted for r in score(docs, index).collect()}
+    assert sum(got[i] for i in index.ids if i % 3 == 0) > 0.9 * sum(i % 3 == 0 for i in index.ids)
+
+
 def test_token_file_round_trip(tmp_path):
     path = str(tmp_path / "f" / "x.zst")
     writer, docs = TokenFileWriter(path), [(3, b""), (None, b"\1\0\0\0"), (9, bytes(range(8)) * 1000)]
