@@ -27,10 +27,8 @@ from promptward.functions.fence import fence
 from promptward.llm.common import text_or_empty, unused, written
 from promptward.llm.pieces import _Remembered
 
-#: Labelled rows of each label that the model is fitted on, at most.
+#: Labelled rows of each label that the model is fitted on, at most; all of them are in the index.
 SAMPLE = 10_000
-#: Examples of each label in the index, at most.
-EXAMPLES = 2_000
 #: Sample rows of each label that the votes are calibrated on, at most.
 CALIBRATION = 1_000
 NEIGHBOURS = 15
@@ -304,11 +302,7 @@ def build_index(numbers: dict[str, int], values: np.ndarray, rows: pa.Table, tot
         unit_vector(values, t.values.to_numpy(), c.values.to_numpy()) for t, c in zip(rows.column("terms"), rows.column("counts"))
     ]
     vectors = [(t, w.astype(np.float32)) for t, w in vectors]
-    left, used = {0: EXAMPLES, 1: EXAMPLES}, []
-    for i, (y, v) in enumerate(zip(known.tolist(), vectors)):
-        if len(v[0]) and left[y]:
-            left[y] -= 1
-            used.append(i)
+    used = [i for i, v in enumerate(vectors) if len(v[0])]
     held = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *[vectors[i][0] for i in used]]), minlength=len(values))
     common = held * COMMON > len(used)
 
@@ -323,10 +317,7 @@ def build_index(numbers: dict[str, int], values: np.ndarray, rows: pa.Table, tot
     sampled = np.bincount(known, minlength=2)
     full = np.array([totals.get(0, 0), totals.get(1, 0)], dtype=np.float64)
     index.prior = float(full[1] / full.sum()) if full.sum() else 0.0
-    with_vector = np.bincount(known[np.array([len(v[0]) > 0 for v in vectors], dtype=bool)], minlength=2)
-    held = np.bincount(labels, minlength=2)
-    scale = np.divide(full, sampled, out=np.zeros(2), where=sampled > 0)
-    weight = scale * np.divide(with_vector, held, out=np.zeros(2), where=held > 0)
+    weight = np.divide(full, sampled, out=np.zeros(2), where=sampled > 0)
     index.class_weight = weight / max(weight.max(), 1e-12)
     place = {i: at for at, i in enumerate(used)}
     # Rows are in order of their ids; every n-th of each label is enough for the bins.
@@ -349,7 +340,7 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     new = ("score", "predicted", "evidence")
     kept = [c for c in docs.columns if c not in new]
     at = kept.index(text)
-    model = docs.sparkSession.sparkContext.broadcast(vars(index))  # bounded by EXAMPLES and their terms
+    model = docs.sparkSession.sparkContext.broadcast(vars(index))  # bounded by 2 * SAMPLE and their terms
     item = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -243,6 +243,18 @@ def test_toxicity_by_rare_terms(spark):
     assert sum(got[i] for i in index.ids if i % 3 == 0) > 0.9 * sum(i % 3 == 0 for i in index.ids)
 
 
+def test_toxicity_by_late_ids(spark):
+    """Every sampled example is in the index, those of the largest ids too."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, f"{name(i)} {name(i * 7 + 1)} {name(i * 11 + 2)} " + ("awful" if i < 4400 else "rotten") * (i % 2)) for i in range(5600)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    index = fit(docs, spark.createDataFrame([(i, i % 2) for i in range(5600)], "doc_id BIGINT, toxic INT"))
+    assert sum(y for y in index.labels) > 2_000 and max(index.ids) > 5_500
+    new = spark.createDataFrame([(9_001, "rotten"), (9_002, "zz rotten zz")], "doc_id BIGINT, text STRING")
+    for r in score(new, index).collect():
+        assert r.predicted == 1 and all(e.doc_id >= 4400 and e.label == 1 for e in r.evidence)
+
+
 def test_token_file_round_trip(tmp_path):
     path = str(tmp_path / "f" / "x.zst")
     writer, docs = TokenFileWriter(path), [(3, b""), (None, b"\1\0\0\0"), (9, bytes(range(8)) * 1000)]
