@@ -103,8 +103,8 @@ class Index:
         self.cuts, self.rates = np.zeros(0), np.zeros(1)
         self.n_blocks = -(-len(ids) // BLOCK)
         sizes = np.array([len(v[0]) for v in vectors], dtype=np.int64)
-        terms = np.concatenate([np.zeros(0, dtype=np.int32), *[v[0] for v in vectors]]).astype(np.int32)
-        weights = np.concatenate([np.zeros(0, dtype=np.float32), *[v[1] for v in vectors]]).astype(np.float32)
+        terms = np.concatenate([np.zeros(0, dtype=np.int32), *[v[0] for v in vectors]]).astype(np.int32, copy=False)
+        weights = np.concatenate([np.zeros(0, dtype=np.float32), *[v[1] for v in vectors]]).astype(np.float32, copy=False)
         places = np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)
         held = np.bincount(terms, minlength=len(values))
         #: Column of a common term, -1 for others.
@@ -292,18 +292,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
     # The counts of at most 2 * SAMPLE texts.
     rows = texts.mapInArrow(vectors, "id BIGINT, label INT, terms ARRAY<INT>, counts ARRAY<INT>").toArrow()
-    return build_index(numbers, values, rows.sort_by([("id", "ascending"), ("label", "ascending")]), totals)
+    del held, found
+    return build_index(numbers, values, rows, totals)
 
 
 def build_index(numbers: dict[str, int], values: np.ndarray, rows: pa.Table, totals: dict[int, int]) -> Index:
     """The index and its calibration from the counted sample rows."""
-    ids, known = rows.column("id").to_pylist(), rows.column("label").to_numpy().astype(np.int64)
-    vectors = [
-        unit_vector(values, t.values.to_numpy(), c.values.to_numpy()) for t, c in zip(rows.column("terms"), rows.column("counts"))
-    ]
-    vectors = [(t, w.astype(np.float32)) for t, w in vectors]
+    order = np.lexsort((rows.column("label").to_numpy(), rows.column("id").to_numpy()))
+    ids, known = rows.column("id").to_numpy()[order].tolist(), rows.column("label").to_numpy()[order].astype(np.int64)
+    vectors = []
+    for t, c in zip(rows.column("terms"), rows.column("counts")):
+        terms, weights = unit_vector(values, t.values.to_numpy(), c.values.to_numpy())
+        vectors.append((terms, weights.astype(np.float32)))
+    vectors = [vectors[i] for i in order]
     used = [i for i, v in enumerate(vectors) if len(v[0])]
-    held = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *[vectors[i][0] for i in used]]), minlength=len(values))
+    held = np.zeros(len(values), dtype=np.int32)
+    for i in used:
+        held[vectors[i][0]] += 1
     common = held * COMMON > len(used)
 
     def leading(i: int) -> tuple[list[int], int]:
