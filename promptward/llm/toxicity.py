@@ -122,11 +122,19 @@ class Index:
         #: Where the list of a term starts; it ends where the next one starts.
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(values)))])
 
+    def packed(self) -> dict:
+        """The attributes, of the matrix what is not zero."""
+        at = np.flatnonzero(self.matrix).astype(np.int32 if self.matrix.size < 1 << 31 else np.int64)
+        return vars(self) | {"matrix": (self.matrix.shape, at, self.matrix.ravel()[at]), "places": self.places.astype(np.uint16 if self.n_blocks * BLOCK <= 1 << 16 else np.int32)}
+
     @classmethod
     def of(cls, values: dict) -> Index:
-        """An index of the values of another one's attributes."""
+        """An index of the packed attributes of another one."""
         index = cls.__new__(cls)
         vars(index).update(values)
+        shape, at, weights = values["matrix"]
+        index.matrix = np.zeros(shape, dtype=np.float32)
+        index.matrix.ravel()[at] = weights
         return index
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -345,7 +353,7 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     new = ("score", "predicted", "evidence")
     kept = [c for c in docs.columns if c not in new]
     at = kept.index(text)
-    model = docs.sparkSession.sparkContext.broadcast(vars(index))  # bounded by 2 * SAMPLE and their terms
+    model = docs.sparkSession.sparkContext.broadcast(index.packed())  # bounded by 2 * SAMPLE and their terms
     item = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
