@@ -121,6 +121,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptward.llm.packing import pack
+
+    return pack(read_documents(spark, sf_dir).select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptward.llm.lexical import search
+
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    return search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptward.llm.collocations import collocations
+
+    return collocations(read_documents(spark, sf_dir).select("text", "lang"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontamination": op2_decontamination,
@@ -132,4 +151,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_packing": op11_packing,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_collocations": op13_collocations,
 }
