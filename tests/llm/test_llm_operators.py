@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +20,7 @@ from promptward.llm.pieces import PieceCodec, encode_decode
 from promptward.llm.shards import pack
 from promptward.llm.suffixes import drop_repeated_bytes, refine
 from promptward.llm.tokenfile import TokenFileReader, TokenFileWriter, WordEncoder, read_token_files, write_token_files
-from promptward.llm.toxicity import Terms, drop_toxic, fit, score, terms_of
+from promptward.llm.toxicity import drop_toxic, fit, score, words_of
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -232,12 +233,11 @@ def test_toxicity_by_rare_terms(spark):
         rows.append((i, " ".join([*text, f"mark{chr(97 + i // 9 % 26)}{chr(97 + i // 9 // 26)}"] if i % 3 == 0 else text)))
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
     index = fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id BIGINT, toxic INT"))
-    tool = Terms(index.numbers)
-    vectors = {i: dict(zip(*map(np.ndarray.tolist, index.vector(tool.counts(t))))) for i, t in rows}
-    assert all(set(tool.counts(dict(rows)[i])) == {index.numbers[x] for c in dict(rows)[i].split() for x in terms_of(c)} for i in index.ids)
+    vectors = {i: dict(zip(*map(np.ndarray.tolist, index.vector(t)))) for i, t in rows}
+    assert all(index.numbers[sorted(vectors[i])].tolist() == words_of(dict(rows)[i])[0].tolist() for i in index.ids)
     for i in range(0, 600, 7):
         cosines = [sum(w * vectors[i].get(t, 0) for t, w in vectors[j].items()) for j in index.ids]
-        near = index.nearest(*index.vector(tool.counts(dict(rows)[i])))
+        near = index.nearest(*index.vector(dict(rows)[i]))
         assert np.allclose([c for c, _ in near], sorted(cosines, reverse=True)[: len(near)], atol=1e-5) and len(near) == 15
     got = {r.doc_id: r.predicted for r in score(docs, index).collect()}
     assert sum(got[i] for i in index.ids if i % 3 == 0) > 0.9 * sum(i % 3 == 0 for i in index.ids)
@@ -249,12 +249,29 @@ def test_toxicity_by_late_ids(spark):
     rows = [(i, f"{name(i)} {name(i * 7 + 1)} {name(i * 11 + 2)} " + ("awful" if i < 4400 else "rotten") * (i % 2)) for i in range(5600)]
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
     index = fit(docs, spark.createDataFrame([(i, i % 2) for i in range(5600)], "doc_id BIGINT, toxic INT"))
-    assert sum(y for y in index.labels) > 2_000 and max(index.ids) > 5_500
+    assert sum(index.labels == 1) == sum(index.labels == 0) == 2_000 and max(index.ids) > 5_500
     new = spark.createDataFrame([(9_001, "rotten"), (9_002, "zz rotten zz")], "doc_id BIGINT, text STRING")
     for r in score(new, index).collect():
         assert r.predicted == 1 and all(e.doc_id >= 4400 and e.label == 1 for e in r.evidence)
 
 
+def test_toxicity_of_odd_rows(spark, odd):
+    """Clashing names, repeated rows, long texts, an id with two labels and one without a document."""
+    labels = spark.createDataFrame(
+        [(1, 1), (1, 0), (2, 0), (3, 0), (6, 1), (7, 0), (8, 0), (None, 1), (99, 1), (7, 5)], "doc_id BIGINT, toxic INT"
+    )
+    docs = odd.withColumnsRenamed({"key": "score", "digest": "evidence"})
+    index = fit(docs, labels)
+    want = [(1, 0), (1, 1), (6, 1), (7, 0), (8, 0)]
+    assert sorted(zip(index.ids, index.labels.tolist())) == [x for x in want if zlib.crc32(str(x[0]).encode()) % 5]
+    out = score(docs, index)
+    assert out.count() == 10 and all(0 <= r.score <= 1 for r in out.collect())
+    kept = drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() <= 10
+    one = fit(docs, labels.filter("toxic = 0"))
+    assert {r.predicted for r in score(docs, one).collect()} == {0}
+
+
 def test_token_file_round_trip(tmp_path):
     path = str(tmp_path / "f" / "x.zst")
     writer, docs = TokenFileWriter(path), [(3, b""), (None, b"\1\0\0\0"), (9, bytes(range(8)) * 1000)]

@@ -137,8 +137,19 @@ def test_toxicity(spark, duck):
     for i, r in got.items():
         assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1
         assert r.predicted == int(r.score >= 0.5)
-    labels = duck.execute("SELECT doc_id, toxic FROM labels").fetchall()
-    assert np.mean([got[i].predicted == y for i, y in labels]) > 0.85
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+def test_toxicity_finds_held_out_rows(spark):
+    """Nine of ten toxic rows that were not learnt from, and hardly a clean one."""
+    from promptward.llm import toxicity as tox
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    index = tox.fit(docs, labels)
+    unseen = docs.join(labels.filter(tox.held_out()), "doc_id")
+    rows = tox.score(unseen, index).select("toxic", "predicted").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == y] for y in (1, 0))
+    assert len(toxic) > 90 and np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.01
 
 
 def test_token_files(spark, documents):
