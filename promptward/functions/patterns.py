@@ -96,16 +96,17 @@ _LOCAL = r"[a-zA-Z0-9._%+\-]"
 
 # Word boundaries next to a known character need only one look-around.  An e-mail
 # match starts at the first word of a run of address characters, or where the
-# previous match stopped; other starts in the run cannot be leftmost.  A word is not
-# the first if another stands before it with up to 255 special characters between.
+# previous match stopped; other starts in the run cannot be leftmost.  So the search
+# steps in where a run begins, past the special characters before its first word,
+# which are no part of the match: that is group 1.
 _PII_LINEAR = {
     "ID_CARD_CN": (
         rf"(?<!{WORD})[1-9]\d{{5}}(?:18|19|20)\d{{2}}(?:0[1-9]|1[0-2])"
         rf"(?:0[1-9]|[12]\d|3[01])\d{{3}}[\dXx](?!{WORD})"
     ),
     "EMAIL": (
-        rf"(?:(?={WORD})(?<!{WORD})(?<!{WORD}[.%+\-]{{1,255}})|\G(?<={WORD})(?=[.%+\-]))"
-        rf"{_LOCAL}++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}(?!{WORD})"
+        rf"(?:(?<!{_LOCAL})[.%+\-]*+(?={WORD})|\G(?<={WORD})(?=[.%+\-]))"
+        rf"({_LOCAL}++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}(?!{WORD}))"
     ),
     "API_KEY_AWS": rf"(?<!{WORD})AKIA[A-Z0-9]{{16}}(?!{WORD})",
     "API_KEY_OPENAI": rf"(?<!{WORD})sk-(?:proj-)?[a-zA-Z0-9_\-T]{{20,}}\b",
@@ -122,5 +123,9 @@ _PII_LINEAR = {
 }
 
 
+#: Kinds whose match is group 1 of a longer one.
+LED_BY_OTHERS = frozenset({"EMAIL"})
+
+
 def pii_regex(name: str) -> str:
     return java_regex(_PII_LINEAR.get(name, PII_PATTERNS[name]))

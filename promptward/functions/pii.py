@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from promptward.functions.arrays import bind, emitting_fold, text_blocks, text_span
 from promptward.functions.keys import TextKeys
-from promptward.functions.patterns import BLANKS, java_regex, pii_regex
+from promptward.functions.patterns import BLANKS, LED_BY_OTHERS, java_regex, pii_regex
 from promptward.rules import ID_CHECK_CHARS, ID_WEIGHTS, PII_TYPES
 
 HIT_TYPE = "struct<type:string,value:string,masked:string,start:int,end:int>"
@@ -24,7 +24,8 @@ class PiiPattern(NamedTuple):
     ``guard`` is a cheap SQL condition that holds for every text with a match; the
     regex runs only where it does.  In it ``{text}`` stands for the text,
     ``{vocab}`` for its distinct lower-case words and ``_numeric`` for the outcome
-    of ``may_hold_numbers``.  ``valid`` drops matches that fail a check.
+    of ``may_hold_numbers``.  ``valid`` drops matches that fail a check.  ``group`` is
+    the group that holds the match; it ends where the whole match ends.
     """
 
     type: str
@@ -32,6 +33,7 @@ class PiiPattern(NamedTuple):
     mask: Callable[[Column], Column]
     guard: str = "true"
     valid: Callable[[Column], Column] | None = None
+    group: int = 0
 
 
 def id_checksum_ok(value: Column) -> Column:
@@ -140,7 +142,7 @@ def builtin_patterns() -> tuple[PiiPattern, ...]:
         "PASSWORD_KV": (_mask_password, _PASSWORD_WORDS, None),
     }
     return tuple(
-        PiiPattern(name, pii_regex(name), mask, guard, valid)
+        PiiPattern(name, pii_regex(name), mask, guard, valid, int(name in LED_BY_OTHERS))
         for name, (mask, guard, valid) in ((n, parts[n]) for n in PII_TYPES)
     )
 
@@ -149,19 +151,21 @@ def matched_values(text: str, keys: TextKeys, pattern: PiiPattern) -> Column:
     """All matched strings of one kind, before validation."""
     guard = pattern.guard.format(text=f"`{text}`", vocab=keys.vocabulary)
     return F.when(
-        F.expr(guard), F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0))
+        F.expr(guard), F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(pattern.group))
     ).otherwise(F.array().cast("array<string>"))
 
 
 def gaps_before(text: Column, values: Column, pattern: PiiPattern) -> Column:
     """Matches of one kind with the number of characters since the previous one."""
-    gaps = F.slice(F.split(text, pattern.regex, -1), F.lit(1), F.size(values))
+    gaps = F.transform(F.slice(F.split(text, pattern.regex, -1), F.lit(1), F.size(values)), F.length)
+    if pattern.group:
+        whole = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0))
+        lead = F.zip_with(whole, values, lambda w, v: F.length(w) - F.length(v))
+        gaps = F.zip_with(gaps, lead, lambda g, more: g + more)
     paired = F.zip_with(
         values,
         gaps,
-        lambda v, g: F.struct(
-            F.lit(pattern.type).alias("type"), v.alias("value"), F.length(g).alias("gap")
-        ),
+        lambda v, g: F.struct(F.lit(pattern.type).alias("type"), v.alias("value"), g.alias("gap")),
     )
     none = F.array().cast("array<struct<type:string,value:string,gap:int>>")
     return F.when(F.size(values) > 0, paired).otherwise(none)
