@@ -23,20 +23,17 @@ WINDOW = 10
 GRAM = 5
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-
-
-def _split(lowered: Column) -> Column:
-    return F.array_remove(F.split(lowered, _NO_WORD), "")
+_NO_WORD_OF_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def exact_words(text: str) -> Column:
     """Words of a text with A-Z in lower case."""
-    return _split(F.translate(text_or_empty(text), _UPPER, _UPPER.lower()))
+    return F.array_remove(F.split(F.translate(text_or_empty(text), _UPPER, _UPPER.lower()), _NO_WORD), "")
 
 
 def folded_words(text: str) -> Column:
-    """As many words in full lower case; equal ``exact_words`` are equal here too, and this is faster."""
-    return _split(F.lower(text_or_empty(text)))
+    """As many words in full lower case, each by itself; equal ``exact_words`` are equal here too, and this is faster."""
+    return F.transform(F.array_remove(F.split(text_or_empty(text), _NO_WORD_OF_ANY_CASE), ""), F.lower)
 
 
 def _joined(values: Column, i: Column, n: int) -> list[Column]:
@@ -167,8 +164,11 @@ def contamination(
         "key", digest(text_or_empty("text"))
     )
     # Both sides grow with the corpus, so they are shuffled at every size.
-    read = texts.join(written(met, "met").hint("merge"), "key").filter(F.col("id").eqNullSafe(F.col("of")))
-    read = fence(read.select("key", "runs", exact_words("text").alias("words")), ["words"])
+    # One copy of each text is read again; its id is part of the join key, so copies meet nowhere.
+    one = written(met, "met").hint("merge").alias("m")
+    same = (F.col("t.key") == F.col("m.key")) & F.col("t.id").eqNullSafe(F.col("m.of"))
+    read = texts.alias("t").join(one, same).select("m.key", "runs", exact_words("text").alias("words"))
+    read = fence(read, ["words"])
     tried = (
         read.select("key", "words", F.inline("runs"))
         .select("key", "words", "length", F.explode(F.sequence("first", "last")).alias("start"))
