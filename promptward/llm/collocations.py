@@ -9,9 +9,9 @@ in order of their frequency again, and two overlapping ones in a row are a
 phrase of three words, counted in the same way; so it goes on up to the longest phrase.
 
 A chunk is a few megabytes of one language's text as ids, one row of a written table; it
-has its own short list of the distinct things in it, and meets their global ids through a
-join on (chunk, language).  Nothing that grows with the corpus is broadcast or sent to one
-task.  A word that is in every chunk is spread over ``SALTS`` keys for that join.
+has its own short list of the distinct things in it.  Their global ids come from a table that is
+sent to all tasks while it is small (``SENT`` rows), and beyond that through a join, in which a word
+that is in every chunk is spread over ``SALTS`` keys.
 
 Each candidate phrase is scored at its weakest cut, and goes where a longer candidate
 occurs just as often and holds it.
@@ -34,7 +34,9 @@ from promptward.llm.common import text_or_empty, written
 
 LONGEST, AT_LEAST, TOP = 5, 100, 2000
 #: UTF-8 bytes of text of one chunk, about.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+#: Frequent things that are sent to every task; where there are more, chunks and things are joined.
+SENT = 1 << 20
 #: Side of a tile; a tile with a pair for every ``DENSE`` cells at least is counted as an array.
 TILE, DENSE = 512, 8
 SALTS = 8
@@ -162,47 +164,79 @@ def frequent(table: DataFrame, key: str, at_least: int, name: str) -> DataFrame:
     return written(ranked(counted.agg(F.sum("e.counts").alias("f")).filter(F.col("f") >= at_least), name + "-sorted"), name)
 
 
+def _paired(chunk: int, lang: str, ids: np.ndarray, names: np.ndarray, width: int) -> pa.RecordBatch:
+    """A chunk of local ids as pairs of the global ids ``names`` gives them (0: not frequent), counted."""
+    new = names[ids]
+    left, right = new[:-1], new[1:]
+    both = np.flatnonzero((left > 0) & (right > 0))
+    keys, counts, place = tiled((left[both] - 1) * width + right[both] - 1, width)
+    local_ids = np.zeros(len(left), dtype=np.int32)
+    local_ids[both] = place + 1
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([chunk], pa.int64()),
+            pa.array([lang]),
+            pa.array([local_ids.tobytes()], pa.binary()),
+            pa.array([keys], pa.list_(pa.int64())),
+            pa.array([counts], pa.list_(pa.int64())),
+        ],
+        names=["chunk", "lang", "ids", "keys", "counts"],
+    )
+
+
 def renamed(table: DataFrame, key: str, known: DataFrame, width: int) -> DataFrame:
     """Chunks with pairs of global ids in place of local ones, counted: chunk, lang, ids, keys, counts.
 
     A local id whose thing is not frequent becomes a break.  Position i of the new ids
-    stands for the two overlapping things that begin at i.
+    stands for the two overlapping things that begin at i.  Up to ``SENT`` frequent things go to
+    every task; more of them meet the chunks that hold them through a join.
     """
-    one = key[:-1]
-    own = table.select("chunk", "lang", F.posexplode(key).alias("local", one))
-    own = own.withColumn("salt", F.pmod("chunk", F.lit(SALTS)).cast("int"))
-    salted = known.select("lang", one, "id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    mapped = own.join(salted, ["lang", one, "salt"]).groupBy("chunk", "lang").agg(
-        F.collect_list("local").alias("locals"), F.collect_list("id").alias("globals")
+    if known.limit(SENT + 1).count() <= SENT:
+        return _renamed_by_table(table, key, known, width)
+    return _renamed_by_join(table, key, known, width)
+
+
+def _renamed_by_table(table: DataFrame, key: str, known: DataFrame, width: int) -> DataFrame:
+    rows = known.select("lang", key[:-1], "id").toArrow()
+    frame = pd.DataFrame({"lang": rows.column(0).to_pylist(), "key": rows.column(1).to_pandas(), "id": rows.column(2).to_numpy()})
+    sent = table.sparkSession.sparkContext.broadcast(
+        {lang: part.set_index("key")["id"].sort_index() for lang, part in frame.groupby("lang")}
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = sent.value
         for batch in batches:
             for at in range(batch.num_rows):
-                chunk, lang, ids, local, names = (c[at] for c in batch.columns)
-                places = local.values.to_numpy()
-                ids = np.frombuffer(ids.as_py(), dtype=np.int32)
-                table = np.zeros(max(int(ids.max(initial=0)), int(places.max(initial=0)) + 1) + 1, dtype=np.int64)
-                table[places + 1] = names.values.to_numpy()
-                new = table[ids]
-                left, right = new[:-1], new[1:]
-                both = np.flatnonzero((left > 0) & (right > 0))
-                keys, counts, place = tiled((left[both] - 1) * width + right[both] - 1, width)
-                local_ids = np.zeros(len(left), dtype=np.int32)
-                local_ids[both] = place + 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([chunk.as_py()], pa.int64()),
-                        pa.array([lang.as_py()]),
-                        pa.array([local_ids.tobytes()], pa.binary()),
-                        pa.array([keys], pa.list_(pa.int64())),
-                        pa.array([counts], pa.list_(pa.int64())),
-                    ],
-                    names=["chunk", "lang", "ids", "keys", "counts"],
-                )
-
-    joined = table.select("chunk", "lang", "ids").join(mapped, ["chunk", "lang"])
-    return joined.mapInArrow(run, PAIRS)
+                chunk, lang, ids, own = (c[at] for c in batch.columns)
+                if lang.as_py() not in tables or not len(own.values):
+                    continue
+                found = tables[lang.as_py()].reindex(own.values.to_pandas()).fillna(0).to_numpy().astype(np.int64)
+                names = np.concatenate(([0], found))
+                yield _paired(chunk.as_py(), lang.as_py(), np.frombuffer(ids.as_py(), dtype=np.int32), names, width)
+
+    return table.select("chunk", "lang", "ids", key).mapInArrow(run, PAIRS)
+
+
+def _renamed_by_join(table: DataFrame, key: str, known: DataFrame, width: int) -> DataFrame:
+    one = key[:-1]
+    own = table.select("chunk", "lang", F.posexplode(key).alias("local", one))
+    own = own.withColumn("salt", F.pmod("chunk", F.lit(SALTS)).cast("int"))
+    salted = known.select("lang", one, "id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    mapped = own.join(salted, ["lang", one, "salt"]).select("chunk", "local", "id").toDF("of", "local", "id")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: [] for n in ("chunk", "lang", "ids", "keys", "counts")}, schema)
+        ids = np.frombuffer(left.column("ids")[0].as_py(), dtype=np.int32)
+        names = np.zeros(int(ids.max(initial=0)) + 1, dtype=np.int64)
+        names[right.column("local").to_numpy() + 1] = right.column("id").to_numpy()
+        batch = _paired(left.column("chunk")[0].as_py(), left.column("lang")[0].as_py(), ids, names, width)
+        return pa.Table.from_batches([batch])
+
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("ids", pa.binary()), ("keys", longs), ("counts", longs)])
+    chunks = table.select("chunk", "lang", "ids")
+    return chunks.groupBy("chunk").cogroup(mapped.groupBy("of")).applyInArrow(run, PAIRS)
 
 
 def phrases(docs: DataFrame, longest: int, at_least: int) -> tuple[DataFrame, DataFrame]:

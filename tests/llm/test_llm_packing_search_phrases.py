@@ -244,9 +244,12 @@ def brute_phrases(rows, at_least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("at_least,top,tile,chunk", [(4, 2000, 512, 4 << 20), (2, 7, 4, 3000), (100, 50, 16, 9000)])
-def test_collocations(spark, docs, at_least, top, tile, chunk, monkeypatch):
+@pytest.mark.parametrize(
+    "at_least,top,tile,chunk,sent", [(4, 2000, 512, 4 << 20, 1 << 20), (2, 7, 4, 3000, 0), (100, 50, 16, 9000, 20)]
+)
+def test_collocations(spark, docs, at_least, top, tile, chunk, sent, monkeypatch):
     monkeypatch.setattr(col, "TILE", tile)
+    monkeypatch.setattr(col, "SENT", sent)
     monkeypatch.setattr(col, "CHUNK", chunk)
     repeated = [("a a a a a a b. a a b, a b c d e f", "en")] * 30 + [("x y z z Z", None)] * 9
     rows = [(r.text, r.lang) for r in docs.collect()] + repeated
