@@ -18,7 +18,7 @@ def built_once(build: Callable) -> Callable:
 
     @wraps(build)
     def cached(*args):
-        context = SparkContext._active_spark_context
+        context = SparkContext.getOrCreate()
         key = (context.applicationId, args)
         if key not in columns:
             for old in [k for k in columns if k[0] != context.applicationId]:

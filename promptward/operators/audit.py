@@ -102,12 +102,44 @@ def _page_numbers(page: int | str, limit: int | str) -> tuple[int, int]:
 def audit_page(
     audit: DataFrame, page: int | str = 1, limit: int | str = 20, risk: str | None = None
 ) -> DataFrame:
-    """One page of audit rows, newest first."""
+    """One page of audit rows, newest first.
+
+    Every task keeps ``page * limit`` rows, and so does the merge: far pages cost as much as all
+    before them.  ``audit_page_after`` goes on from a row instead.
+    """
     page, limit = _page_numbers(page, limit)
     ordered = by_risk(audit, risk).orderBy(F.col("timestamp").desc(), "id")
     return ordered.offset((page - 1) * limit).limit(limit)
 
 
+def page_end(page: DataFrame) -> tuple[datetime, str] | None:
+    """Time and id of the last row of a page, from which the next page goes on; none for an empty page."""
+    last = page.select("timestamp", "id").orderBy("timestamp", F.desc("id")).first()
+    return None if last is None else (last["timestamp"], last["id"])
+
+
+def audit_page_after(
+    audit: DataFrame,
+    after: tuple[datetime | Column, str | Column] | None = None,
+    limit: int | str = 20,
+    risk: str | None = None,
+) -> DataFrame:
+    """The ``limit`` rows that follow the row ``after`` (timestamp, id), newest first; the first ones without it.
+
+    A page costs the same wherever it lies: tasks keep ``limit`` rows each, later days are not listed.
+    """
+    _, limit = _page_numbers(1, limit)
+    rows = by_risk(audit, risk)
+    if after is not None:
+        until, last = instant(after[0]), after[1] if isinstance(after[1], Column) else F.lit(after[1])
+        rows = rows.filter(
+            (F.col("timestamp") <= until) & ((F.col("timestamp") < until) | (F.col("id") > last))
+        )
+        if "dt" in audit.columns:
+            rows = rows.filter(F.col("dt") <= utc_day(until))
+    return rows.orderBy(F.col("timestamp").desc(), "id").limit(limit)
+
+
 def page_info(
     audit: DataFrame, page: int | str = 1, limit: int | str = 20, risk: str | None = None
 ) -> DataFrame:
@@ -159,9 +191,17 @@ def prompt_repeats(audit: DataFrame) -> DataFrame:
 
 
 def distinct_prompts(audit: DataFrame) -> DataFrame:
-    """The first audit row of every prompt."""
-    columns = [c for c in audit.columns if c != "prompt_hash"]
-    first = F.min_by(F.struct(*columns), F.struct("timestamp", "id")).alias("_first")
-    return audit.groupBy("prompt_hash").agg(first).select(
-        *[F.col("prompt_hash") if c == "prompt_hash" else F.col(f"_first.{c}").alias(c) for c in audit.columns]
-    )
+    """The first audit row of every prompt: the earliest, of equal times the one with the smallest id.
+
+    Hashes meet their earliest time in a sum of numbers first, and that time their smallest id; only
+    then are whole rows fetched, by id, so a prompt that a third of all rows repeat
+    brings its texts to no task together.  Of rows that repeat an id as well one is kept.
+    """
+    narrow = audit.select("prompt_hash", "id", "timestamp")
+    first = narrow.groupBy("prompt_hash").agg(F.min("timestamp").alias("timestamp"))
+    earliest = narrow.join(first, ["prompt_hash", "timestamp"])
+    ids = earliest.groupBy("prompt_hash", "timestamp").agg(F.array_min(F.collect_set("id")).alias("id"))
+    key = ["id", "prompt_hash", "timestamp"]
+    repeats = Window.partitionBy(*key).orderBy("latency", "model_used")
+    fetched = audit.join(ids, key, "left_semi").withColumn("_repeat", F.row_number().over(repeats))
+    return fetched.filter("_repeat = 1").select(*audit.columns)

@@ -93,3 +93,52 @@ def max_severity(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     """Highest severity rank per text; 0 where nothing fired."""
     found = with_signals(df.select(id_col, text), text)
     return found.select(id_col, fx.max_severity(F.col("_signals")).alias("max_severity"))
+
+
+def rule_cooccurrence(df: DataFrame, text: str = "text") -> DataFrame:
+    """Texts in which two rules fire together, and how much oftener than by chance.
+
+    One row per pair ``rule_a < rule_b`` that occurs: texts, texts_a, texts_b, lift.  Pairs come
+    from the distinct rule names of a row, so no table is joined with itself; single rules and all
+    texts are counted in the same pass.  A text without findings counts in the total only.
+    """
+    found = with_signals(df.select(text), text)
+    names = F.array_sort(F.array_distinct(F.transform("_signals", lambda s: s["rule_name"])))
+    # The total has no names, a single rule is a pair with itself.
+    total = F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("b")))
+    pairs = F.flatten(
+        F.transform(
+            "_names",
+            lambda a, i: F.transform(
+                F.filter("_names", lambda _, j: j >= i), lambda b: F.struct(a.alias("a"), b.alias("b"))
+            ),
+        )
+    )
+    counted = (
+        found.select(names.alias("_names"))
+        .select(F.explode(F.concat(total, pairs)).alias("p"))
+        .groupBy("p.a", "p.b")
+        .agg(F.count("*").alias("n"))
+    )
+    # All counts in one row: the number of rules bounds them.
+    entry = F.struct(F.struct("a", "b").alias("key"), F.col("n").alias("value"))
+    table = counted.agg(F.map_from_entries(F.collect_list(entry)).alias("counts"))
+
+    def count_of(a, b):
+        return F.element_at("counts", F.struct(a.alias("a"), b.alias("b")))
+
+    a, b = F.col("key.a"), F.col("key.b")
+    n, n_a, n_b = F.col("value"), count_of(a, a), count_of(b, b)
+    everything = count_of(F.lit(""), F.lit(""))
+    return (
+        table.select("counts", F.explode("counts"))
+        .filter("key.a < key.b AND key.a <> ''")
+        .select(
+            a.alias("rule_a"),
+            b.alias("rule_b"),
+            n.alias("texts"),
+            n_a.alias("texts_a"),
+            n_b.alias("texts_b"),
+            (n * everything / (n_a * n_b)).alias("lift"),
+        )
+    )

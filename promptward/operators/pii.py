@@ -148,3 +148,27 @@ def masked_corpus(
         kinds.alias("pii_types"),
         F.size("_pii_hits").alias("pii_count"),
     )
+
+
+def pii_density(
+    df: DataFrame,
+    by: Sequence[str] = ("source", "lang"),
+    text: str = "text",
+    patterns: Sequence[PiiPattern] | None = None,
+) -> DataFrame:
+    """Hits, characters and hits per 1,000 characters for every combination of ``by``, each of its parts, and in all.
+
+    Two sums in one pass; ``level`` tells the totals from null values: one bit for each
+    column of ``by``, set where the row sums over it.  Null texts have no hits and no characters.
+    """
+    hits = with_pii_hits(df.select(*dict.fromkeys([*by, text])), text, patterns)
+    sums = hits.select(
+        *by, F.size("_pii_hits").cast("bigint").alias("_n"), F.coalesce(F.length(text), F.lit(0)).alias("_chars")
+    )
+    counted = sums.cube(*by).agg(
+        F.grouping_id().cast("int").alias("level"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("hits"),
+        F.coalesce(F.sum("_chars"), F.lit(0)).alias("chars"),
+    )
+    per_thousand = F.when(F.col("chars") > 0, F.col("hits") * 1000 / F.col("chars")).otherwise(0.0)
+    return counted.select("level", *by, "hits", "chars", per_thousand.alias("per_1000_chars"))

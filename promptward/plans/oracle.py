@@ -261,7 +261,28 @@ def _planted_conversations() -> str:
 
 _LATEST = """latest AS MATERIALIZED (
         SELECT conv_id, turn, text FROM {source} WHERE role = 'user' AND text IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1)"""
+        QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)"""
+
+# --- similarity to a table --------------------------------------------------
+
+
+def _table_pairs(seeds: str, corpus: str, threshold: float) -> str:
+    """All pairs with a common word, scored; ``seeds`` yields item_id and text."""
+    words = (
+        "SELECT {k}, w, count(*) * CASE WHEN w IN (" + ", ".join(q(b) for b in BOOST_TERMS) + ") THEN 3 ELSE 1 END AS f "
+        "FROM (SELECT {k}, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM {s}) "
+        "WHERE length(w) > 1 AND w NOT IN (" + ", ".join(q(s) for s in STOPWORDS) + ") GROUP BY {k}, w"
+    )
+    return f"""
+    item_words AS ({words.format(k="item_id", s=seeds)}),
+    item_norms AS (SELECT item_id, sum(f * f) AS n2 FROM item_words GROUP BY item_id),
+    text_words AS MATERIALIZED ({words.format(k="doc_id", s=corpus)}),
+    text_norms AS (SELECT doc_id, sum(f * f) AS n2 FROM text_words GROUP BY doc_id),
+    pairs AS (
+        SELECT doc_id, item_id, CAST(dot AS DOUBLE) / (sqrt(CAST(t.n2 AS DOUBLE)) * sqrt(CAST(i.n2 AS DOUBLE))) AS score
+        FROM (SELECT doc_id, item_id, sum(d.f * s.f) AS dot FROM text_words d JOIN item_words s USING (w) GROUP BY ALL)
+        JOIN text_norms t USING (doc_id) JOIN item_norms i USING (item_id) WHERE score >= {threshold})"""
+
 
 # --- audit ------------------------------------------------------------------
 
@@ -314,6 +335,30 @@ _SUMMARY = """summary AS (
     FROM recent)"""
 
 
+_ACTIVITY = """
+    SELECT session_id, min(timestamp) AS started, max(timestamp) AS ended, count(*) AS total,
+           count(*) FILTER (blocked) AS blocked
+    FROM (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS island
+          FROM (SELECT *, CASE WHEN timestamp < lag(timestamp) OVER (PARTITION BY session_id ORDER BY timestamp)
+                                               + INTERVAL 90 MINUTE THEN 0 ELSE 1 END AS fresh
+                FROM audit WHERE session_id IS NOT NULL))
+    GROUP BY session_id, island"""
+
+_ALERTS = """
+    SELECT session_id, window_start, window_start + INTERVAL 1 HOUR AS window_end,
+           count(*) FILTER (blocked) AS blocked, count(*) AS total
+    FROM (SELECT session_id, blocked,
+                 time_bucket(INTERVAL 10 MINUTE, timestamp) - to_minutes(CAST(10 * unnest(range(6)) AS INT)) AS window_start
+          FROM audit WHERE session_id IS NOT NULL)
+    GROUP BY session_id, window_start HAVING count(*) FILTER (blocked) >= 2"""
+
+_HORIZON = """
+    SELECT prompt_hash, date_trunc('day', timestamp)::TIMESTAMP AS horizon_start, min(timestamp) AS timestamp,
+           min(id) FILTER (earliest) AS id, count(*) AS times
+    FROM (SELECT *, timestamp = min(timestamp) OVER (PARTITION BY prompt_hash, date_trunc('day', timestamp)) AS earliest FROM audit)
+    GROUP BY prompt_hash, date_trunc('day', timestamp)"""
+
+
 def _audit(sql: str, *more: str) -> str:
     return with_ctes(planted_cte(), verdict_cte(), _SCANNED, *more) + sql
 
@@ -601,6 +646,65 @@ def oracle_sql() -> dict[str, str]:
             "SELECT session_id, threat_count, blocked_count, total FROM ranking", _RANKING
         ),
         "stream_dedup": _audit("SELECT DISTINCT prompt_hash, risk_level FROM audit"),
+        "seed_table_check": with_ctes(_table_pairs("benchmark", "documents", 0.3))
+        + """SELECT doc_id, item_id, score FROM pairs
+             QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) = 1""",
+        "seed_table_pairs": with_ctes(
+            corpus,
+            "items(item_id, text) AS (SELECT CAST(item_id AS VARCHAR), text FROM benchmark UNION ALL VALUES "
+            + ", ".join(f"({q(label)}, {q(text)})" for label, text in SEEDS.items())
+            + ")",
+            _table_pairs("items", "corpus", 0.25),
+        )
+        + "SELECT doc_id, item_id, score FROM pairs",
+        "rule_cooccurrence": with_ctes(
+            corpus.replace("corpus AS", "given AS", 1),
+            f"""corpus AS MATERIALIZED (SELECT doc_id, text || ' ' ||
+                ({_list(p[1] for p in PLANTED)})[CAST((doc_id // 3 + 11) % {COUNT} AS INT) + 1] AS text FROM given)""",
+            signals_cte(),
+            "fired AS (SELECT DISTINCT doc_id, rule_name FROM signals)",
+            "single AS (SELECT rule_name, count(*) AS n FROM fired GROUP BY rule_name)",
+        )
+        + """SELECT a.rule_name AS rule_a, b.rule_name AS rule_b, count(*) AS texts, any_value(x.n) AS texts_a,
+                    any_value(y.n) AS texts_b,
+                    count(*) * (SELECT count(*) FROM corpus) / (any_value(x.n) * any_value(y.n)) AS lift
+             FROM fired a JOIN fired b ON a.doc_id = b.doc_id AND a.rule_name < b.rule_name
+             JOIN single x ON x.rule_name = a.rule_name JOIN single y ON y.rule_name = b.rule_name
+             GROUP BY a.rule_name, b.rule_name""",
+        "pii_density": with_ctes(corpus, hits_cte())
+        + """SELECT CAST(grouping(source, lang) AS INT) AS level, source, lang, CAST(coalesce(sum(n), 0) AS BIGINT) AS hits,
+                    CAST(sum(length(text)) AS BIGINT) AS chars,
+                    CASE WHEN sum(length(text)) > 0 THEN CAST(coalesce(sum(n), 0) AS BIGINT) * 1000 / CAST(sum(length(text)) AS BIGINT)
+                         ELSE 0 END AS per_1000_chars
+             FROM corpus LEFT JOIN (SELECT doc_id, count(*) AS n FROM hits GROUP BY doc_id) USING (doc_id)
+             GROUP BY CUBE (source, lang)""",
+        "label_eval": with_ctes(corpus, similarity_cte())
+        + """, graded AS (SELECT similarity_score AS s, toxic FROM vector JOIN labels USING (doc_id) WHERE toxic IN (0, 1))
+             SELECT cut, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision,
+                    CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall
+             FROM (SELECT i / 100 AS cut, (SELECT count(*) FROM graded WHERE toxic = 1 AND floor(s * 100) >= i) AS tp,
+                          (SELECT count(*) FROM graded WHERE toxic = 0 AND floor(s * 100) >= i) AS fp,
+                          (SELECT count(*) FROM graded WHERE toxic = 1 AND floor(s * 100) < i) AS fn
+                   FROM range(101) r(i))""",
+        "audit_page_after": _audit(
+            """SELECT id, timestamp, risk_level, attack_type, session_id FROM audit
+               ORDER BY timestamp DESC, id LIMIT 20 OFFSET 40"""
+        ),
+        "session_activity": _audit(f"SELECT * FROM ({_ACTIVITY})"),
+        "session_alerts": _audit(f"SELECT * FROM ({_ALERTS})"),
+        "first_in_horizon": _audit(f"SELECT * FROM ({_HORIZON})"),
+        # Closed is what ends before the watermark, one hour behind the newest event.
+        "stream_session_activity": _audit(
+            f"SELECT * FROM ({_ACTIVITY}) WHERE ended + INTERVAL 150 MINUTE <= (SELECT t FROM now)"
+        ),
+        "stream_alerts": _audit(f"SELECT * FROM ({_ALERTS}) WHERE window_end + INTERVAL 1 HOUR <= (SELECT t FROM now)"),
+        "stream_first_in_horizon": _audit(
+            f"SELECT * FROM ({_HORIZON}) WHERE horizon_start + INTERVAL 25 HOUR <= (SELECT t FROM now)"
+        ),
+        "stream_session_ranking": _audit(
+            "SELECT session_id, threat_count, blocked_count, total FROM ranking", _RANKING
+        ),
+        "stream_latest_prompt": with_ctes(_LATEST.format(source="conversations")) + "SELECT conv_id, turn, text FROM latest",
     }
     return sql
 

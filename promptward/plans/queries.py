@@ -18,11 +18,14 @@ from promptward.operators import events as evt
 from promptward.operators import injection as inj
 from promptward.operators import pii
 from promptward.operators import report as rep
+from promptward.operators import seedtable as st
+from promptward.operators import sessions as ss
 from promptward.operators import similarity as sim
 from promptward.operators import verdict as vd
 from promptward.plans import planted as pl
+from promptward.rules import SEEDS
 from promptward.sources.folders import new_run
-from promptward.sources.tables import DOCUMENTS_SCHEMA, EVENTS_SCHEMA, read_table_stream
+from promptward.sources.tables import AUDIT_SCHEMA, DOCUMENTS_SCHEMA, EVENTS_SCHEMA, read_conversations_stream, read_table_stream
 from promptward.streaming import jobs as sj
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +75,11 @@ def pii_counts_planted(spark, sf_dir):
     return pii.pii_counts(pl.planted_corpus(spark, sf_dir), by=["type", "source"])
 
 
+@query
+def pii_density(spark, sf_dir):
+    return pii.pii_density(pl.planted_corpus(spark, sf_dir))
+
+
 @query
 def mask_pii(spark, sf_dir):
     return pii.mask_pii(pl.documents(spark, sf_dir)).select("doc_id", "masked_text")
@@ -121,6 +129,14 @@ def rule_prevalence(spark, sf_dir):
     return inj.rule_prevalence(pl.planted_corpus(spark, sf_dir), by=["lang"])
 
 
+@query
+def rule_cooccurrence(spark, sf_dir):
+    """Planted texts in pairs of neighbours, so that rules meet."""
+    docs = pl.planted_corpus(spark, sf_dir)
+    more = F.concat("text", F.lit(" "), pl._planted(1, "doc_id DIV 3 + 11"))
+    return inj.rule_cooccurrence(docs.select("doc_id", more.alias("text")))
+
+
 @query
 def max_severity(spark, sf_dir):
     return inj.max_severity(pl.planted_corpus(spark, sf_dir))
@@ -144,6 +160,21 @@ def similarity_histogram(spark, sf_dir):
     return sim.similarity_histogram(pl.planted_corpus(spark, sf_dir))
 
 
+@query
+def seed_table_check(spark, sf_dir):
+    """The benchmark as a table of seeds: the best item of every document that comes near one."""
+    items = pl.read_table(spark, f"{sf_dir}/benchmark.parquet")
+    return st.seed_table_check(pl.documents(spark, sf_dir), items, threshold=0.3)
+
+
+@query
+def seed_table_pairs(spark, sf_dir):
+    """All pairs of a planted document and a built-in seed or benchmark item above a low threshold."""
+    items = pl.read_table(spark, f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string"), "text")
+    builtin = spark.createDataFrame(list(SEEDS.items()), "item_id STRING, text STRING")
+    return st.seed_pairs(pl.planted_corpus(spark, sf_dir), builtin.unionByName(items), threshold=0.25)
+
+
 # --- verdict ----------------------------------------------------------------
 
 
@@ -335,6 +366,30 @@ def audit_page_filtered(spark, sf_dir):
     )
 
 
+@query
+def audit_page_after(spark, sf_dir):
+    """The third page, reached from row to row."""
+    audit, after = pl.stored_audit(spark, sf_dir), None
+    for _ in range(2):
+        after = au.page_end(au.audit_page_after(audit, after, 20))
+    return au.audit_page_after(audit, after, 20).select("id", "timestamp", "risk_level", "attack_type", "session_id")
+
+
+@query
+def session_activity(spark, sf_dir):
+    return ss.session_activity(pl.stored_audit(spark, sf_dir), "90 minutes")
+
+
+@query
+def session_alerts(spark, sf_dir):
+    return ss.session_alerts(pl.stored_audit(spark, sf_dir))
+
+
+@query
+def first_in_horizon(spark, sf_dir):
+    return ss.first_in_horizon(pl.stored_audit(spark, sf_dir), "1 day")
+
+
 @query
 def page_info(spark, sf_dir):
     return au.page_info(pl.planted_audit(spark, sf_dir), page=2, limit=20, risk="HIGH")
@@ -420,6 +475,14 @@ def confusion_matrix(spark, sf_dir):
     return ev.confusion_matrix(vd.scan(pl.planted_corpus(spark, sf_dir)))
 
 
+@query
+def label_eval(spark, sf_dir):
+    """The similarity score against the ``toxic`` label."""
+    checked = sim.vector_check(pl.planted_corpus(spark, sf_dir))
+    labels = pl.read_table(spark, f"{sf_dir}/labels.parquet")
+    return ev.label_eval(checked, labels, "similarity_score")
+
+
 # --- streams ----------------------------------------------------------------
 # Each runs over all files available now, into a folder that is then read.
 
@@ -465,7 +528,7 @@ def route_stream(spark, sf_dir):
     out, checkpoint = new_run(spark, "route_stream")
     sj.route_stream(sj.stream_scan(prompts), out, checkpoint).start().awaitTermination()
     counts = [
-        spark.read.parquet(f"{out}/{name}").agg(F.count("*").alias("rows")).select(F.lit(name).alias("output"), "rows")
+        sj.read_routed(spark, out, name).agg(F.count("*").alias("rows")).select(F.lit(name).alias("output"), "rows")
         for name in ("passed", "blocked", "audit")
     ]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
@@ -495,3 +558,50 @@ def stream_session_threats(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     kept = sj.stream_dedup(_audit_stream(spark, sf_dir))
     return _to_table(kept, "stream_dedup").select("prompt_hash", "risk_level")
+
+
+def _stored_audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored audit, read as a stream of files."""
+    path, _ = new_run(spark, "audit")
+    pl.write_audit(pl.planted_audit(spark, sf_dir), path)
+    return read_table_stream(spark, path, AUDIT_SCHEMA)
+
+
+def _upserted(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    spark = stream.sparkSession
+    out, checkpoint = new_run(spark, name)
+    writer = stream.writeStream.outputMode("update").foreachBatch(sj.upsert_batch(out, name))
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return sj.read_latest(spark, out, name, keys)
+
+
+@query
+def stream_session_activity(spark, sf_dir):
+    rows = sj.stream_session_activity(_stored_audit_stream(spark, sf_dir), "90 minutes")
+    return _to_table(rows, "stream_session_activity")
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    return _to_table(sj.stream_session_alerts(_stored_audit_stream(spark, sf_dir)), "stream_alerts")
+
+
+@query
+def stream_first_in_horizon(spark, sf_dir):
+    rows = sj.stream_first_in_horizon(_stored_audit_stream(spark, sf_dir), "1 day")
+    return _to_table(rows, "stream_first_in_horizon")
+
+
+@query
+def stream_session_ranking(spark, sf_dir):
+    """The ranking from the upserted counts per session and day."""
+    counts = sj.stream_session_counts(_stored_audit_stream(spark, sf_dir))
+    return sj.ranked_sessions(_upserted(counts, "session_counts", ["session_id", "day"]))
+
+
+@query
+def stream_latest_prompt(spark, sf_dir):
+    """Newest user message of every conversation, from a stream of messages."""
+    stream = read_conversations_stream(spark, sf_dir, glob="conversations.parquet")
+    latest = _upserted(sj.stream_latest_turns(stream), "latest_turns", ["conv_id"])
+    return conv.with_text_of(latest, pl.conversations(spark, sf_dir))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -19,3 +19,10 @@ def new_run(spark: SparkSession, name: str) -> tuple[str, str]:
     """Fresh output and checkpoint folders under the shared folder."""
     base = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     return f"{base}/out", f"{base}/checkpoint"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to a fresh shared folder and read again: a lost executor repeats no earlier work."""
+    path, _ = new_run(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

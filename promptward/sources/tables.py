@@ -42,6 +42,11 @@ def read_conversations(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, CONVERSATIONS_SCHEMA)
 
 
+def read_conversations_stream(spark: SparkSession, path: str, glob: str | None = None, max_files: int | None = None) -> DataFrame:
+    """Chat messages as they arrive: new Parquet files of a directory."""
+    return read_table_stream(spark, path, CONVERSATIONS_SCHEMA, glob, max_files)
+
+
 #: Files that a day of audit rows is split into, and rows a file holds at most.
 DAY_BUCKETS = 8
 FILE_ROWS = 5_000_000
