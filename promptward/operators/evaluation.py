@@ -45,7 +45,7 @@ def label_eval(
     """
     value = F.col(score) if isinstance(score, str) else score
     truth = labels.select(F.col(id_col), F.col(label).cast("int").alias("_truth")).filter(F.col("_truth").isin(0, 1))
-    step = F.least(F.floor(value * cuts), F.lit(cuts)).cast("int")
+    step = F.when(value.isNotNull(), F.least(F.floor(value * cuts), F.lit(cuts))).cast("int")
     counted = (
         scored.select(id_col, step.alias("step"))
         .filter("step IS NOT NULL")

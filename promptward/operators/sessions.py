@@ -16,7 +16,7 @@ REPEAT_HORIZON = "1 hour"
 
 
 def session_activity(audit: DataFrame, gap: str = ACTIVITY_GAP) -> DataFrame:
-    """Stretches of a session without a pause of ``gap`` or longer.
+    """Stretches of a session without a pause longer than ``gap``.
 
     session_id, started and ended (first and last row), total, blocked.  Rows without a session or
     time belong to none.

@@ -339,7 +339,7 @@ _ACTIVITY = """
     SELECT session_id, min(timestamp) AS started, max(timestamp) AS ended, count(*) AS total,
            count(*) FILTER (blocked) AS blocked
     FROM (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS island
-          FROM (SELECT *, CASE WHEN timestamp < lag(timestamp) OVER (PARTITION BY session_id ORDER BY timestamp)
+          FROM (SELECT *, CASE WHEN timestamp <= lag(timestamp) OVER (PARTITION BY session_id ORDER BY timestamp)
                                                + INTERVAL 90 MINUTE THEN 0 ELSE 1 END AS fresh
                 FROM audit WHERE session_id IS NOT NULL))
     GROUP BY session_id, island"""
