@@ -21,12 +21,14 @@ Null text is an empty one, null ``lang`` is ``und``.  Rows with equal ids or tex
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ LONGEST, AT_LEAST, TOP = 5, 100, 2000
 CHUNK = 2 << 20
 #: Frequent things that are sent to every task; where there are more, chunks and things are joined.
 SENT = 1 << 20
+#: Words of the corpus for each part that counts are summed in, and chunks that are summed together.
+PART, TOGETHER = 1 << 20, 1 << 12
 #: Side of a tile; a tile with a pair for every ``DENSE`` cells at least is counted as an array.
 TILE, DENSE = 512, 8
 SALTS = 8
@@ -158,10 +162,76 @@ def ranked(counted: DataFrame, name: str) -> DataFrame:
     return ordered.join(F.broadcast(start), "part").withColumn("id", F.col("row") + F.col("before") + 1).drop("part", "row", "before")
 
 
-def frequent(table: DataFrame, key: str, at_least: int, name: str) -> DataFrame:
-    """Things of all chunks that occur ``at_least`` times: lang, key, f, id."""
-    counted = table.select("lang", F.explode(F.arrays_zip(key, "counts")).alias("e")).groupBy("lang", F.col(f"e.{key}").alias(key[:-1]))
-    return written(ranked(counted.agg(F.sum("e.counts").alias("f")).filter(F.col("f") >= at_least), name + "-sorted"), name)
+def _dealt(things: pa.Array, parts: int) -> np.ndarray:
+    """The part of each thing, from its value alone."""
+    if pa.types.is_string(things.type):
+        return np.fromiter((zlib.crc32(t.encode()) % parts for t in things.to_pylist()), dtype=np.int64, count=len(things))
+    mixed = things.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def _summed(things: pa.Array, counts: pa.Array, at_least: int) -> tuple[pa.Array, pa.Array]:
+    total = pa.table({"thing": things, "n": counts}).group_by("thing").aggregate([("n", "sum")])
+    total = total.filter(pa.compute.greater_equal(total.column("n_sum"), at_least)).combine_chunks()
+    return total.column("thing").combine_chunks(), total.column("n_sum").combine_chunks()
+
+
+def frequent(table: DataFrame, key: str, at_least: int, words: int, name: str) -> DataFrame:
+    """Things of all chunks that occur ``at_least`` times: lang, key, f, id.
+
+    The counts of a chunk are lists, dealt to parts by a hash of the thing; a part is a row, and
+    so large that its lists from all chunks fit a task whatever the corpus.  Where there
+    are many chunks, the rows of a part are summed in groups of chunks first.
+    """
+    one = key[:-1]
+    kind = table.schema[key].dataType.simpleString()
+    parts = max(1, -(-words // PART))
+    groups = max(1, -(-(words * 8 // CHUNK) // TOGETHER))
+    blobs = f"lang STRING, part BIGINT, salt INT, things {kind}, counts ARRAY<BIGINT>"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                chunk, lang, things, counts = (c[at] for c in batch.columns)
+                of = _dealt(things.values, parts)
+                order = np.argsort(of, kind="stable")
+                cuts = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1))
+                sizes = np.diff(cuts)
+                offsets = pa.array(np.append(cuts[:-1], len(of)).astype(np.int32))
+                rows, take = len(sizes), pa.array(order)
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([lang.as_py()] * rows, pa.string()),
+                            pa.array(of[order][cuts[:-1]]),
+                            pa.array(np.full(rows, chunk.as_py() % groups, dtype=np.int32)),
+                            pa.ListArray.from_arrays(offsets, things.values.take(take)),
+                            pa.ListArray.from_arrays(offsets, counts.values.take(take)),
+                        ],
+                        names=["lang", "part", "salt", "things", "counts"],
+                    )
+
+    def halfway(part: pa.Table) -> pa.Table:
+        things, counts = _summed(*_flat(part), 1)
+        one_list = pa.array([0, len(things)], pa.int32())
+        lists = [pa.ListArray.from_arrays(one_list, x) for x in (things, counts)]
+        return pa.table([*(part.column(c).slice(0, 1) for c in ("lang", "part", "salt")), *lists], names=part.column_names)
+
+    def finish(part: pa.Table) -> pa.Table:
+        things, counts = _summed(*_flat(part), at_least)
+        lang = pa.array([part.column("lang")[0].as_py()] * len(things), pa.string())
+        return pa.table({"lang": lang, one: things, "f": counts})
+
+    dealt = table.select("chunk", "lang", key, "counts").mapInArrow(deal, blobs)
+    if groups > 1:
+        dealt = dealt.groupBy("lang", "part", "salt").applyInArrow(halfway, blobs)
+    item = table.schema[key].dataType.elementType.simpleString()
+    counted = dealt.groupBy("lang", "part").applyInArrow(finish, f"lang STRING, {one} {item}, f BIGINT")
+    return written(ranked(counted, name + "-sorted"), name)
+
+
+def _flat(part: pa.Table) -> tuple[pa.Array, pa.Array]:
+    return tuple(part.column(c).combine_chunks().flatten() for c in ("things", "counts"))
 
 
 def _paired(chunk: int, lang: str, ids: np.ndarray, names: np.ndarray, width: int) -> pa.RecordBatch:
@@ -243,7 +313,8 @@ def phrases(docs: DataFrame, longest: int, at_least: int) -> tuple[DataFrame, Da
     """Phrases of 1 to ``longest`` words that occur ``at_least`` times (lang, phrase, size, f), and n per lang."""
     table = written(chunks(docs), "chunks")
     n = table.groupBy("lang").agg(F.sum("words").alias("n"))
-    known = frequent(table, "names", at_least, "words")
+    words = table.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    known = frequent(table, "names", at_least, words, "words")
     spelled = known.select("lang", "id", F.col("name").alias("phrase"), F.col("name").alias("last"), "f")
     out = spelled.select("lang", "phrase", F.lit(1).alias("size"), "f")
     key = "names"
@@ -253,7 +324,7 @@ def phrases(docs: DataFrame, longest: int, at_least: int) -> tuple[DataFrame, Da
             break
         table = written(renamed(table, key, known, width), f"pairs-{size}")
         key = "keys"
-        known = frequent(table, key, at_least, f"phrases-{size}")
+        known = frequent(table, key, at_least, words, f"phrases-{size}")
         # A pair of things is the first one and the last word of the second.
         first = spelled.select("lang", F.col("id").alias("one"), "phrase")
         second = spelled.select("lang", F.col("id").alias("two"), "last")

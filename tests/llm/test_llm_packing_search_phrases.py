@@ -245,9 +245,12 @@ def brute_phrases(rows, at_least, top):
 
 
 @pytest.mark.parametrize(
-    "at_least,top,tile,chunk,sent", [(4, 2000, 512, 4 << 20, 1 << 20), (2, 7, 4, 3000, 0), (100, 50, 16, 9000, 20)]
+    "at_least,top,tile,chunk,sent,part",
+    [(4, 2000, 512, 4 << 20, 1 << 20, 1 << 20), (2, 7, 4, 3000, 0, 5000), (100, 50, 16, 9000, 20, 20_000)],
 )
-def test_collocations(spark, docs, at_least, top, tile, chunk, sent, monkeypatch):
+def test_collocations(spark, docs, at_least, top, tile, chunk, sent, part, monkeypatch):
+    monkeypatch.setattr(col, "PART", part)
+    monkeypatch.setattr(col, "TOGETHER", 4 if part < 9000 else 1 << 12)
     monkeypatch.setattr(col, "TILE", tile)
     monkeypatch.setattr(col, "SENT", sent)
     monkeypatch.setattr(col, "CHUNK", chunk)
