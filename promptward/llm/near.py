@@ -8,7 +8,8 @@ texts into common buckets; members of a bucket are compared with its pivots, and
 every reported link is verified with the exact weighted Jaccard similarity.
 
 Pivots stand in for all pairs.  They are the members that share most buckets with
-others, so the original of a group of copies comes first.  A member that no pivot
+others, so the original of a group of copies comes first; every member meets the most
+central pivot of its buckets before any other, which joins most of a group in one step.  A member that no pivot
 is similar to becomes a pivot of a later round, and so does one that a foreign
 pivot nearly reaches; 1 - similarity is a metric, so beyond that distance no link
 between two classes of a bucket can be missed.  Rounds go on until no bucket has such a
@@ -41,9 +42,9 @@ CHUNKS = 64
 DAMPING = 0.25
 #: Entries of the table of random variates of one hash.
 VARIATES = 1 << 14
-#: Pivots of a bucket in the first round and in the second; each later one takes
+#: Pivots of a bucket in the first rounds and in the one after; each later one takes
 #: ``GROWTH`` times as many, so the number of rounds is that of a bucket's digits.
-PIVOTS, MORE_PIVOTS, GROWTH = 3, 16, 4
+PIVOTS, MORE_PIVOTS, GROWTH = 1, 4, 4
 #: Shingles that are sampled together.
 TOGETHER = 1 << 16
 
@@ -205,14 +206,26 @@ def _first_pivots(members: DataFrame) -> DataFrame:
     return members.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOTS).select("bucket", F.col("key").alias("pivot"))
 
 
-def _pairs(members: DataFrame, pivots: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _nearest_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Pairs of a member and the most central pivot of all its buckets: one comparison per member.
+
+    Members of a group of copies share many buckets, and their pivots are much the same; once the
+    classes of this round are known, the other pivots need only be tried across classes.
+    """
+    of_pivot = members.groupBy(F.col("key").alias("pivot")).agg(F.max("central").alias("weight"))
+    best = F.max(F.struct("weight", "pivot")).alias("best")
+    met = members.select("bucket", "key").join(pivots.join(of_pivot, "pivot"), "bucket")
+    chosen = met.groupBy("key").agg(best).select("key", F.col("best.pivot").alias("pivot")).filter("key != pivot")
+    return chosen.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+
+
+def _pairs(members: DataFrame, pivots: DataFrame, labels: DataFrame) -> DataFrame:
     """Distinct pairs of a pivot and a member of its bucket that is not yet in the same class."""
     met = members.select("bucket", "key").join(pivots, "bucket").filter("key != pivot")
-    if labels is not None:
-        of_key = labels.select(F.col("node").alias("key"), F.col("label").alias("key_label"))
-        of_pivot = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
-        met = met.join(of_key, "key", "left").join(of_pivot, "pivot", "left")
-        met = met.filter(F.coalesce(F.col("key_label") != F.col("pivot_label"), F.lit(True)))
+    of_key = labels.select(F.col("node").alias("key"), F.col("label").alias("key_label"))
+    of_pivot = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
+    met = met.join(of_key, "key", "left").join(of_pivot, "pivot", "left")
+    met = met.filter(F.coalesce(F.col("key_label") != F.col("pivot_label"), F.lit(True)))
     return met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
 
 
@@ -294,13 +307,13 @@ def near_duplicates(
     texts = written(texts, "texts").dropDuplicates(["key"])
 
     pivots = written(_first_pivots(members), "pivots")
-    used, seen, labels, most = pivots, None, None, MORE_PIVOTS
+    used, most = pivots, MORE_PIVOTS
+    seen = written(_verified(_nearest_pivots(members, pivots), texts, weights), "verified")
+    labels = components(seen.filter(F.col("similarity") >= bound).select("a", "b"))
     while True:
-        pairs = _pairs(members, pivots, labels)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = _pairs(members, pivots, labels).join(seen, ["a", "b"], "left_anti")
         found = written(_verified(pairs, texts, weights), "verified")
-        seen = found if seen is None else written(seen.unionByName(found), "verified")
+        seen = written(seen.unionByName(found), "verified")
         links = seen.filter(F.col("similarity") >= bound).select("a", "b")
         labels = components(links)
         pivots = written(_later_pivots(members, used, seen, labels, bound, most), "pivots")

@@ -161,9 +161,36 @@ def test_token_files(spark, documents):
         start += len(ids)
 
 
-def test_near_duplicates(spark, documents):
-    """Classes of unweighted similarity, where no pair is near the bound."""
-    got = rows_of(spark, "op4_minhash")
-    texts = Counter(t for _, t in documents)
-    for i, t in documents:
-        assert got[i].class_size >= texts[t] and got[i].class_id <= i
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_near_duplicates(spark):
+    """Classes against the components of all pairs with an exact weighted Jaccard similarity of 0.8 or more."""
+    from promptward.llm import near
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    weights = near.shingle_weights(docs, "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    sets = {i: near.weighted_set(t.encode(), weights) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    holders, by_text = {}, {}
+    for i, t in texts.items():
+        by_text.setdefault(t, []).append(i)
+        for h in sets[i][0].tolist():
+            holders.setdefault(h, []).append(i)
+    tried = {(a, b) for ids in holders.values() if len(ids) < 200 for a in ids for b in ids if a < b}
+    links = [(a, b) for a, b in tried if near.similarity(sets[a], sets[b]) >= near.SIMILARITY]
+    links += [(ids[0], i) for ids in by_text.values() for i in ids]
+    for a, b in links:
+        a, b = sorted((top(a), top(b)))
+        parent[b] = a
+    sizes = Counter(map(top, texts))
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near.near_duplicates(docs).collect()}
+    want = {i: (top(i), sizes[top(i)]) for i in texts}
+    # Sampling finds a pair at the bound itself with a chance of 99.8 %.
+    missed = sum(got[i] != want[i] for i in texts)
+    assert len(got) == len(texts) and missed <= len(texts) // 500 and len(links) > 50
