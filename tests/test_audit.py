@@ -189,3 +189,34 @@ def test_report_file(sample, tmp_path):
     assert len(files) == 1 and lines[0].startswith("# ")
     assert "| Scanned requests (24 h) | **5** |" in lines and "| Block rate (24 h) | **60%** |" in lines
     assert lines.index("| COMBINED | 1 |") < lines.index("| 1 | `User-1` | 2 | 3 | 67% |")
+
+
+def test_pages_from_row_to_row(spark, make, tmp_path):
+    """Chained pages are the ordered table; equal times go on by id, later days are not listed."""
+    rows = [row(i, (i * 7) % 90 // 3 * 3, risk="HIGH" if i % 2 else "LOW") for i in range(60)]
+    path = str(tmp_path / "audit")
+    tables.write_audit(make(rows), path)
+    audit = tables.read_audit(spark, path)
+    for risk in (None, "HIGH"):
+        ordered = [r.id for r in au.by_risk(audit, risk).orderBy(F.desc("timestamp"), "id").collect()]
+        after, got = None, []
+        while True:
+            page = au.audit_page_after(audit, after, 7, risk)
+            ids = [r.id for r in page.collect()]
+            got += ids
+            after = au.page_end(page)
+            if after is None:
+                break
+            assert ids == [r.id for r in au.audit_page(audit, len(got) // 7 or 1, 7, risk).collect()] or len(ids) < 7
+        assert got == ordered
+    text = au.audit_page_after(audit, (NOW - timedelta(hours=50), "id000"), 7)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in text and "TakeOrderedAndProject" in text
+    with pytest.raises(ValueError):
+        au.audit_page_after(audit, None, 0)
+
+
+def test_first_row_of_a_prompt(make):
+    same = [row(1, 5, digest="a"), row(2, 9, digest="a"), row(3, 9, digest="a"), row(4, 1, digest="b"), row(4, 1, digest="b")]
+    got = au.distinct_prompts(make(same)).collect()
+    assert sorted((r.prompt_hash, r.id) for r in got) == [("a", "id002"), ("b", "id004")]
+    assert au.distinct_prompts(make([])).count() == 0

@@ -88,3 +88,30 @@ def test_counts_by_risk_build_no_masked_text(docs):
     counted = scan(docs).groupBy("risk_level").count()
     text = counted._jdf.queryExecution().optimizedPlan().toString()
     assert "masked_prompt" not in text and "triggered_rules" not in text
+
+
+def test_latest_prompts_and_first_rows_sort_no_texts(spark, audit):
+    messages = spark.createDataFrame([], tables.CONVERSATIONS_SCHEMA)
+    for df in (latest_user_prompt(messages), au.distinct_prompts(audit)):
+        assert "SortAggregate" not in plan(df)
+
+
+def test_cooccurrence_counts_before_its_shuffle(docs):
+    from promptward.operators.injection import rule_cooccurrence
+
+    exchanges = plan(rule_cooccurrence(docs)).count("Exchange")
+    assert exchanges == 2  # by pair, and the few pairs into one row
+
+
+def test_seed_table_broadcasts_nothing_by_hint(spark, docs, monkeypatch):
+    from promptward.operators.seedtable import seed_pairs
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seeds = spark.createDataFrame([(1, "some text")], "item_id INT, text STRING")
+        pairs = seed_pairs(docs, seeds, threshold=0.5)
+        assert "Broadcast" not in plan(pairs) and "Cartesian" not in plan(pairs)
+        assert pairs.count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

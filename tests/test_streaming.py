@@ -53,12 +53,12 @@ def test_stream_scan_equals_batch_scan(spark, source, expected, tmp_path):
     assert as_set(spark.read.parquet(out), *columns) == as_set(expected, *columns)
 
 
-def test_router_outputs_and_replay(spark, source, expected, tmp_path):
+def test_router_outputs_and_replay(spark, source, expected, tmp_path, monkeypatch):
     out = str(tmp_path / "out")
     jobs.route_stream(jobs.stream_scan(source()), out, str(tmp_path / "cp")).start().awaitTermination()
 
     def read(name):
-        rows = spark.read.parquet(f"{out}/{name}")
+        rows = jobs.read_routed(spark, out, name)
         return rows.select(*sorted(rows.columns))
 
     blocked = expected.filter("blocked").count()
@@ -71,6 +71,8 @@ def test_router_outputs_and_replay(spark, source, expected, tmp_path):
     # The same batch again, as after a failure between write and commit.
     first = read("audit").filter("batch_id = 0").select("timestamp")
     again = expected.join(first.withColumnRenamed("timestamp", "ts"), "ts", "left_semi")
+    run = read("audit").first()["run"]
+    monkeypatch.setattr(jobs, "run_of", lambda batch: run)
     jobs.route_batch(out)(again, 0)
     assert {n: as_set(read(n), "*") for n in before} == before
 
