@@ -34,7 +34,7 @@ from promptward.llm.common import digest, text_or_empty, unused, written
 from promptward.llm.windows import word_hashes, word_spans
 
 #: Labelled rows of each label that the model is fitted on, and UTF-8 bytes of their texts, at most.
-SAMPLE, SAMPLE_BYTES = 2_000, 32 << 20
+SAMPLE, SAMPLE_BYTES = 1_000, 32 << 20
 #: Sample rows of each label that the votes are calibrated on, at most.
 CALIBRATION = 1_000
 NEIGHBOURS = 15
@@ -105,14 +105,14 @@ class Index:
         weights = np.concatenate([np.zeros(0), *[v[1] for v in vectors]])
         places = np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)
         order = np.argsort(terms, kind="stable")
-        terms, self.places, self.weights = terms[order], places[order], weights[order].astype(np.float32)
+        terms, self.places, self.weights = terms[order], places[order].astype(np.int64), weights[order]
         list_of = terms * max(1, self.n_blocks) + self.places // BLOCK
         self.list_start = np.flatnonzero(np.diff(list_of, prepend=-1, append=-1))
         if not len(terms):
             self.list_start = np.zeros(1, dtype=np.int64)
         first = self.list_start[:-1]
         self.list_block = (self.places[first] // BLOCK).astype(np.int32)
-        self.list_max = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0, dtype=np.float32)
+        self.list_max = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
         self.term_start = np.searchsorted(terms[first], np.arange(len(values) + 1))
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -128,15 +128,22 @@ class Index:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > SLACK]
         near, numbers, least = np.zeros(0), np.zeros(0, dtype=np.int64), 0.0
+        seen = np.zeros(self.n_blocks, dtype=bool)
         while len(order):
-            visit, order = order[:TOGETHER], order[TOGETHER:]
-            looked = np.zeros(self.n_blocks, dtype=bool)
-            looked[visit] = True
-            mine = np.flatnonzero(looked[block])
-            at, part = _ranges(self.list_start[lists[mine]], self.list_start[lists[mine] + 1])
-            found = np.bincount(self.places[at], self.weights[at] * weight[mine][part], len(self.ids))
-            hit = np.flatnonzero((found > 0) & (found >= least))
-            hit = hit[hit != without]
+            if 2 * len(order) > self.n_blocks and seen.any():
+                # Bounds part too little: all lists are read once, without looking at their blocks.
+                visit, order = order, order[:0]
+                found = self._all_cosines(terms, weights)
+            else:
+                visit, order = order[:TOGETHER], order[TOGETHER:]
+                looked = np.zeros(self.n_blocks, dtype=bool)
+                looked[visit] = True
+                mine = np.flatnonzero(looked[block])
+                at, part = _ranges(self.list_start[lists[mine]], self.list_start[lists[mine] + 1])
+                found = np.bincount(self.places[at], self.weights[at] * weight[mine][part], len(self.ids))
+            hit = np.flatnonzero(found >= max(least, 1e-12))
+            hit = hit[(hit != without) & ~seen[hit // BLOCK]]
+            seen[visit] = True
             near, numbers = np.append(near, np.round(found[hit], 9)), np.append(numbers, hit)
             if len(near) >= NEIGHBOURS:
                 least = np.partition(near, -NEIGHBOURS)[-NEIGHBOURS] - SLACK
@@ -146,6 +153,16 @@ class Index:
         best = np.lexsort((numbers, -near))[:NEIGHBOURS]
         return list(zip(near[best].tolist(), numbers[best].tolist()))
 
+    def _all_cosines(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosine of every example, from whole lists: long ones one by one, the others together."""
+        first, last = self.list_start[self.term_start[terms]], self.list_start[self.term_start[terms + 1]]
+        long = last - first > 2 * BLOCK
+        at, part = _ranges(first[~long], last[~long])
+        found = np.bincount(self.places[at], self.weights[at] * weights[~long][part], len(self.ids)).astype(np.float64)
+        for a, b, w in zip(first[long].tolist(), last[long].tolist(), weights[long].tolist()):
+            found[self.places[a:b]] += self.weights[a:b] * w
+        return found
+
     def vote(self, neighbours: list[tuple[float, int]]) -> float:
         """Share of toxic votes, each weighted by distance and for the sampling of its label."""
         weight, toxic = 1 / (SOFT + 1), self.prior / (SOFT + 1)
