@@ -47,13 +47,13 @@ def route_batch(
     timestamp: Column | str = "ts",
     latency: Column | str = "latency_ms",
 ) -> Callable[[DataFrame, int], None]:
-    """Write passed prompts, block events and audit rows of a scanned micro-batch.
+    """Write passed prompts, their events, block events and audit rows of a scanned micro-batch.
 
-    The three outputs of a batch become visible together, by one entry of the manifest of
+    The outputs of a batch become visible together, by one entry of the manifest of
     ``CommittedFolders``; ``read_routed`` reads them.  A batch that is replayed after its commit is
     left alone, one that broke off before is written again, and a stream with a new
     checkpoint is a run of its own, which overwrites nothing.  The batch is kept on disk between
-    the three writes; partitions lost with an executor are scanned again.
+    the writes; partitions lost with an executor are scanned again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -67,6 +67,7 @@ def route_batch(
             outputs = {
                 # The matched values stay behind: only the masked text goes on.
                 "passed": passed.drop("masked_prompt", "pii_matches"),
+                "passed_events": scan_events(batch.filter(~F.col("blocked")), text, session, timestamp, latency),
                 "blocked": scan_events(batch.filter("blocked"), text, session, timestamp, latency),
                 "audit": to_audit(batch, text, session, timestamp, latency),
             }
@@ -85,12 +86,12 @@ def run_of(batch: DataFrame) -> str:
 
 
 def read_routed(spark: SparkSession, out_dir: str, name: str, run: str | None = None) -> DataFrame:
-    """Committed rows of one output (``passed``, ``blocked`` or ``audit``) of the newest run or of ``run``."""
+    """Committed rows of one output (``passed``, ``passed_events``, ``blocked`` or ``audit``) of the newest run or of ``run``."""
     return CommittedFolders(spark, out_dir).read(name, run)
 
 
 def route_stream(verdicts: DataFrame, out_dir: str, checkpoint: str, **columns) -> DataStreamWriter:
-    """Send a scanned stream to its three outputs."""
+    """Send a scanned stream to its outputs."""
     return (
         verdicts.writeStream.foreachBatch(route_batch(out_dir, **columns))
         .option("checkpointLocation", checkpoint)

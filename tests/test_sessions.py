@@ -218,7 +218,9 @@ def test_router_with_a_new_checkpoint_and_a_crash(spark, tmp_path, monkeypatch):
     route("one")
     whole = ids()
     assert len(whole) == len(set(whole)) == 30
-    assert {n: jobs.read_routed(spark, out, n).count() for n in ("passed", "blocked")} == {"passed": 15, "blocked": 30}
+    counts = {n: jobs.read_routed(spark, out, n).count() for n in ("passed", "passed_events", "blocked")}
+    assert counts == {"passed": 15, "passed_events": 15, "blocked": 30}
+    assert {r.event_type for r in jobs.read_routed(spark, out, "passed_events").collect()} == {"metadata"}
     route("two")
     assert ids() == whole and len(CommittedFolders(spark, out).runs()) == 2
     run_one = CommittedFolders(spark, out).runs()[0]
