@@ -42,9 +42,9 @@ STRICT = {
 }
 #: Further candidates; ``secret`` has no strict pattern.
 BROAD = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{{1,63}}(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{{1,63}}){{1,4}}",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
-    "secret": r"(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Pp]wd|[Tt]oken|[Ss]ecret|[Aa]pi[_-]?[Kk]ey)[\x22']?[\x20]{0,3}[:=][\x20]{0,3}[\x22']?[^\s\x22']{6,256}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Pp]wd|[Tt]oken|[Ss]ecret|[Aa]pi[_-]?[Kk]ey)[\x22']?[\x20]{0,3}[:=][\x20]{0,3}[\x22']?[^\s\x22']{6,}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
 }
 #: Cheap conditions that hold wherever a pattern can match.
 _GUARD = {

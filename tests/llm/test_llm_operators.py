@@ -208,6 +208,22 @@ def test_personal_data(spark, odd, empty):
     assert {r.doc_id: len(r.base) for r in find_personal_data(hostile).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
 
 
+def test_long_secrets_are_marked_whole(spark):
+    """A run of any length is one span; no part of it stays outside."""
+    from promptward.llm.personal import listed
+
+    secret, local = "x9" * 900, "n" * 200
+    texts = [(i, f"login config: password={secret}{i} and then") for i in range(40)]
+    texts += [(100 + i, f"please contact {local}{i} [at] mail{i} [dot] corp [dot] example [dot] a [dot] b [dot] com or write") for i in range(40)]
+    texts += [(200 + i, f"plain words without anything, number {i}") for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id BIGINT, text STRING")
+    rows = find_personal_data(docs).select("doc_id", listed("spans").alias("s")).collect()
+    cut = [(r.doc_id, s) for r in rows for s in r.s.split(",") if s.startswith("secret")]
+    for i, s in cut:
+        assert int(s.split(":")[2]) == len("login config: password=") + 1800 + len(str(i))
+    assert not [r for r in rows if r.doc_id >= 200 and r.s] and len(cut) == 40
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(1)
     words = [f"word{i}" for i in range(300)]
