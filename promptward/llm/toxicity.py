@@ -38,6 +38,8 @@ SAMPLE, SAMPLE_BYTES = 1_000, 32 << 20
 #: Sample rows of each label that the votes are calibrated on, at most.
 CALIBRATION = 1_000
 NEIGHBOURS = 15
+#: Rows whose evidence a task holds at a time.
+ROWS = 512
 BLOCK = 32
 #: Blocks that a search looks at before it bounds the others anew, and more than rounding loses.
 TOGETHER = 8
@@ -367,7 +369,7 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = model.value
-        for batch in batches:
+        for batch in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             scores, evidence = [], []
             for t in batch.column(at):
                 near = index.nearest(*index.vector(t.as_py() or ""))
