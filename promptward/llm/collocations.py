@@ -26,9 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +36,7 @@ LONGEST, AT_LEAST, TOP = 5, 100, 2000
 #: UTF-8 bytes of text of one chunk, about.
 CHUNK = 2 << 20
 #: Frequent things that are sent to every task; where there are more, chunks and things are joined.
-SENT = 1 << 20
+SENT = 1 << 18
 #: Words of the corpus for each part that counts are summed in, and chunks that are summed together.
 PART, TOGETHER = 1 << 20, 1 << 12
 #: Side of a tile; a tile with a pair for every ``DENSE`` cells at least is counted as an array.
@@ -49,8 +47,11 @@ _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b in b" \t" else b for b in range(256)
 )
 
-CHUNKS = "chunk BIGINT, lang STRING, words BIGINT, ids BINARY, names ARRAY<STRING>, counts ARRAY<BIGINT>"
-PAIRS = "chunk BIGINT, lang STRING, ids BINARY, keys ARRAY<BIGINT>, counts ARRAY<BIGINT>"
+# Lists travel as bytes, which the JVM hands on as they are: numbers as 32 or 64 bits each, names
+# joined by blanks, which no name holds.
+CHUNKS = "chunk BIGINT, lang STRING, words BIGINT, ids BINARY, names BINARY, counts BINARY"
+PAIRS = "chunk BIGINT, lang STRING, ids BINARY, keys BINARY, counts BINARY"
+PARTS = "lang STRING, part BIGINT, salt INT, things BINARY, counts BINARY"
 
 
 def words_of(texts: list[str]) -> list[bytes]:
@@ -87,15 +88,15 @@ def chunks(docs: DataFrame) -> DataFrame:
         place = {w: i for i, w in enumerate(times, 1)}
         place[b"."] = 0
         ids = np.fromiter(map(place.__getitem__, words), dtype=np.int32, count=len(words))
-        names = [w.decode("utf-8", "surrogatepass") for w in times]
+        counts = np.fromiter(times.values(), dtype=np.int64, count=len(times))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([number], pa.int64()),
                 pa.array([lang]),
-                pa.array([sum(times.values())], pa.int64()),
+                pa.array([int(counts.sum())], pa.int64()),
                 pa.array([ids.tobytes()], pa.binary()),
-                pa.array([names], pa.list_(pa.string())),
-                pa.array([list(times.values())], pa.list_(pa.int64())),
+                pa.array([b" ".join(times)], pa.binary()),
+                pa.array([counts.tobytes()], pa.binary()),
             ],
             names=["chunk", "lang", "words", "ids", "names", "counts"],
         )
@@ -162,18 +163,40 @@ def ranked(counted: DataFrame, name: str) -> DataFrame:
     return ordered.join(F.broadcast(start), "part").withColumn("id", F.col("row") + F.col("before") + 1).drop("part", "row", "before")
 
 
-def _dealt(things: pa.Array, parts: int) -> np.ndarray:
+def _unpacked(things: bytes, key: str) -> np.ndarray:
+    """The names or keys of a list."""
+    return np.array(things.split(), dtype=object) if key == "names" else np.frombuffer(things, dtype=np.int64)
+
+
+def _packed(things: np.ndarray, key: str) -> bytes:
+    return b" ".join(things.tolist()) if key == "names" else things.tobytes()
+
+
+def _part(things: np.ndarray, key: str, parts: int) -> np.ndarray:
     """The part of each thing, from its value alone."""
-    if pa.types.is_string(things.type):
-        return np.fromiter((zlib.crc32(t.encode()) % parts for t in things.to_pylist()), dtype=np.int64, count=len(things))
-    mixed = things.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    if key == "names":
+        return np.fromiter((zlib.crc32(t) % parts for t in things), dtype=np.int64, count=len(things))
+    mixed = things.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
-def _summed(things: pa.Array, counts: pa.Array, at_least: int) -> tuple[pa.Array, pa.Array]:
-    total = pa.table({"thing": things, "n": counts}).group_by("thing").aggregate([("n", "sum")])
-    total = total.filter(pa.compute.greater_equal(total.column("n_sum"), at_least)).combine_chunks()
-    return total.column("thing").combine_chunks(), total.column("n_sum").combine_chunks()
+def _summed(rows: pa.Table, key: str, at_least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct things of the lists of all rows and their sums, where they reach ``at_least``."""
+    lists = [_unpacked(t, key) for t in rows.column("things").to_pylist()]
+    counts = np.concatenate([np.frombuffer(c, dtype=np.int64) for c in rows.column("counts").to_pylist()])
+    things = np.concatenate(lists)
+    if key == "names":
+        times: Counter = Counter()
+        for t, n in zip(things.tolist(), counts.tolist()):
+            times[t] += n
+        distinct, total = np.array(list(times), dtype=object), np.fromiter(times.values(), np.int64, len(times))
+    else:
+        order = np.argsort(things, kind="stable")
+        things, counts = things[order], counts[order]
+        first = np.flatnonzero(np.diff(things, prepend=things[:1] - 1))
+        distinct, total = things[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
+    often = total >= at_least
+    return distinct[often], total[often]
 
 
 def frequent(table: DataFrame, key: str, at_least: int, words: int, name: str) -> DataFrame:
@@ -184,56 +207,48 @@ def frequent(table: DataFrame, key: str, at_least: int, words: int, name: str) -
     are many chunks, the rows of a part are summed in groups of chunks first.
     """
     one = key[:-1]
-    kind = table.schema[key].dataType.simpleString()
     parts = max(1, -(-words // PART))
     groups = max(1, -(-(words * 8 // CHUNK) // TOGETHER))
-    blobs = f"lang STRING, part BIGINT, salt INT, things {kind}, counts ARRAY<BIGINT>"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                chunk, lang, things, counts = (c[at] for c in batch.columns)
-                of = _dealt(things.values, parts)
+                chunk, lang, things, counts = (c[at].as_py() for c in batch.columns)
+                things, counts = _unpacked(things, key), np.frombuffer(counts, dtype=np.int64)
+                of = _part(things, key, parts)
                 order = np.argsort(of, kind="stable")
-                cuts = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1))
-                sizes = np.diff(cuts)
-                offsets = pa.array(np.append(cuts[:-1], len(of)).astype(np.int32))
-                rows, take = len(sizes), pa.array(order)
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([lang.as_py()] * rows, pa.string()),
-                            pa.array(of[order][cuts[:-1]]),
-                            pa.array(np.full(rows, chunk.as_py() % groups, dtype=np.int32)),
-                            pa.ListArray.from_arrays(offsets, things.values.take(take)),
-                            pa.ListArray.from_arrays(offsets, counts.values.take(take)),
-                        ],
-                        names=["lang", "part", "salt", "things", "counts"],
-                    )
+                cuts = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1)).tolist()
+                rows = [order[a:b] for a, b in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(rows), pa.string()),
+                        pa.array([int(of[r[0]]) for r in rows], pa.int64()),
+                        pa.array([chunk % groups] * len(rows), pa.int32()),
+                        pa.array([_packed(things[r], key) for r in rows], pa.binary()),
+                        pa.array([counts[r].tobytes() for r in rows], pa.binary()),
+                    ],
+                    names=["lang", "part", "salt", "things", "counts"],
+                )
 
     def halfway(part: pa.Table) -> pa.Table:
-        things, counts = _summed(*_flat(part), 1)
-        one_list = pa.array([0, len(things)], pa.int32())
-        lists = [pa.ListArray.from_arrays(one_list, x) for x in (things, counts)]
+        things, counts = _summed(part, key, 1)
+        lists = [pa.array([x], pa.binary()) for x in (_packed(things, key), counts.tobytes())]
         return pa.table([*(part.column(c).slice(0, 1) for c in ("lang", "part", "salt")), *lists], names=part.column_names)
 
     def finish(part: pa.Table) -> pa.Table:
-        things, counts = _summed(*_flat(part), at_least)
+        things, counts = _summed(part, key, at_least)
         lang = pa.array([part.column("lang")[0].as_py()] * len(things), pa.string())
-        return pa.table({"lang": lang, one: things, "f": counts})
+        shown = pa.array([t.decode("utf-8", "surrogatepass") for t in things], pa.string()) if key == "names" else pa.array(things)
+        return pa.table({"lang": lang, one: shown, "f": pa.array(counts)})
 
-    dealt = table.select("chunk", "lang", key, "counts").mapInArrow(deal, blobs)
+    dealt = table.select("chunk", "lang", key, "counts").mapInArrow(deal, PARTS)
     if groups > 1:
-        dealt = dealt.groupBy("lang", "part", "salt").applyInArrow(halfway, blobs)
-    item = table.schema[key].dataType.elementType.simpleString()
+        dealt = dealt.groupBy("lang", "part", "salt").applyInArrow(halfway, PARTS)
+    item = "STRING" if key == "names" else "BIGINT"
     counted = dealt.groupBy("lang", "part").applyInArrow(finish, f"lang STRING, {one} {item}, f BIGINT")
     return written(ranked(counted, name + "-sorted"), name)
 
 
-def _flat(part: pa.Table) -> tuple[pa.Array, pa.Array]:
-    return tuple(part.column(c).combine_chunks().flatten() for c in ("things", "counts"))
-
-
 def _paired(chunk: int, lang: str, ids: np.ndarray, names: np.ndarray, width: int) -> pa.RecordBatch:
     """A chunk of local ids as pairs of the global ids ``names`` gives them (0: not frequent), counted."""
     new = names[ids]
@@ -247,8 +262,8 @@ def _paired(chunk: int, lang: str, ids: np.ndarray, names: np.ndarray, width: in
             pa.array([chunk], pa.int64()),
             pa.array([lang]),
             pa.array([local_ids.tobytes()], pa.binary()),
-            pa.array([keys], pa.list_(pa.int64())),
-            pa.array([counts], pa.list_(pa.int64())),
+            pa.array([keys.tobytes()], pa.binary()),
+            pa.array([counts.tobytes()], pa.binary()),
         ],
         names=["chunk", "lang", "ids", "keys", "counts"],
     )
@@ -267,44 +282,62 @@ def renamed(table: DataFrame, key: str, known: DataFrame, width: int) -> DataFra
 
 
 def _renamed_by_table(table: DataFrame, key: str, known: DataFrame, width: int) -> DataFrame:
-    rows = known.select("lang", key[:-1], "id").toArrow()
-    frame = pd.DataFrame({"lang": rows.column(0).to_pylist(), "key": rows.column(1).to_pandas(), "id": rows.column(2).to_numpy()})
-    sent = table.sparkSession.sparkContext.broadcast(
-        {lang: part.set_index("key")["id"].sort_index() for lang, part in frame.groupby("lang")}
-    )
+    tables: dict[str, dict] = {}
+    for lang, thing, number in zip(*(c.to_pylist() for c in known.select("lang", key[:-1], "id").toArrow().columns)):
+        thing = thing.encode("utf-8", "surrogatepass") if key == "names" else thing
+        tables.setdefault(lang, {})[thing] = number
+    sent = table.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = sent.value
         for batch in batches:
             for at in range(batch.num_rows):
-                chunk, lang, ids, own = (c[at] for c in batch.columns)
-                if lang.as_py() not in tables or not len(own.values):
-                    continue
-                found = tables[lang.as_py()].reindex(own.values.to_pandas()).fillna(0).to_numpy().astype(np.int64)
-                names = np.concatenate(([0], found))
-                yield _paired(chunk.as_py(), lang.as_py(), np.frombuffer(ids.as_py(), dtype=np.int32), names, width)
+                chunk, lang, ids, own = (c[at].as_py() for c in batch.columns)
+                if lang in tables and own:
+                    own, known = _unpacked(own, key).tolist(), tables[lang]
+                    names = np.zeros(len(own) + 1, dtype=np.int64)
+                    names[1:] = np.fromiter((known.get(t, 0) for t in own), dtype=np.int64, count=len(own))
+                    yield _paired(chunk, lang, np.frombuffer(ids, dtype=np.int32), names, width)
 
     return table.select("chunk", "lang", "ids", key).mapInArrow(run, PAIRS)
 
 
 def _renamed_by_join(table: DataFrame, key: str, known: DataFrame, width: int) -> DataFrame:
     one = key[:-1]
-    own = table.select("chunk", "lang", F.posexplode(key).alias("local", one))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                chunk, lang, own = (c[at].as_py() for c in batch.columns)
+                own = _unpacked(own, key)
+                shown = pa.array([t.decode("utf-8", "surrogatepass") for t in own], pa.string()) if key == "names" else pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(own), chunk, dtype=np.int64)),
+                        pa.array([lang] * len(own), pa.string()),
+                        pa.array(np.arange(len(own), dtype=np.int32)),
+                        shown,
+                    ],
+                    names=["chunk", "lang", "local", one],
+                )
+
+    item = "STRING" if key == "names" else "BIGINT"
+    own = table.select("chunk", "lang", key).mapInArrow(spread, f"chunk BIGINT, lang STRING, local INT, {one} {item}")
     own = own.withColumn("salt", F.pmod("chunk", F.lit(SALTS)).cast("int"))
     salted = known.select("lang", one, "id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     mapped = own.join(salted, ["lang", one, "salt"]).select("chunk", "local", "id").toDF("of", "local", "id")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({n: [] for n in ("chunk", "lang", "ids", "keys", "counts")}, schema)
+            return schema.empty_table()
         ids = np.frombuffer(left.column("ids")[0].as_py(), dtype=np.int32)
         names = np.zeros(int(ids.max(initial=0)) + 1, dtype=np.int64)
         names[right.column("local").to_numpy() + 1] = right.column("id").to_numpy()
         batch = _paired(left.column("chunk")[0].as_py(), left.column("lang")[0].as_py(), ids, names, width)
         return pa.Table.from_batches([batch])
 
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("ids", pa.binary()), ("keys", longs), ("counts", longs)])
+    blobs = [(c, pa.binary()) for c in ("ids", "keys", "counts")]
+    schema = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), *blobs])
     chunks = table.select("chunk", "lang", "ids")
     return chunks.groupBy("chunk").cogroup(mapped.groupBy("of")).applyInArrow(run, PAIRS)
 
