@@ -1,7 +1,9 @@
 """Near-duplicate classes by consistent weighted sampling of TF-IDF shingles.
 
 A text is a weighted set of five-word shingles; the weight of one is its count times a
-damped inverse document frequency, counted over all documents.  Improved consistent weighted
+damped inverse document frequency, counted over all documents.  The frequency is the share of
+documents that hold the shingle, and shares below ``RARE`` weigh the same, so a weight
+depends on neither the size of the corpus nor the noise of counting.  Improved consistent weighted
 sampling draws one (shingle, level) per hash so that two texts agree with the
 probability of their weighted Jaccard similarity.  Bands of samples put similar
 texts into common buckets; members of a bucket are compared with its pivots, and
@@ -35,10 +37,12 @@ from promptward.llm.windows import kmer_hashes, mix, word_hashes, word_spans
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
-#: Slots of the document-frequency table; a slot's count is never below its shingles' own.
+#: Slots of each of the two document-frequency tables; the smaller count of a shingle's two slots is never
+#: below its own.  A slot holds (shingles of a text / SLOTS) of the documents by chance, at any corpus size.
 SLOTS = 1 << 20
 CHUNKS = 64
-#: The rarest shingles weigh 1 + DAMPING, one that is everywhere weighs 1.
+#: Shingles in at most this share of the documents weigh 1 + DAMPING, one that is everywhere weighs 1.
+RARE = 1 / 256
 DAMPING = 0.25
 #: Entries of the table of random variates of one hash.
 VARIATES = 1 << 14
@@ -69,18 +73,26 @@ def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(kmer_hashes(words, min(SHINGLE, len(words))), return_counts=True)
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes % np.uint64(SLOTS)).astype(np.int64)
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    """The slots of every hash in the two tables, which lie one after the other."""
+    one, two = hashes % np.uint64(SLOTS), (hashes >> np.uint64(40)) % np.uint64(SLOTS)
+    return np.stack([one.astype(np.int64), two.astype(np.int64) + SLOTS])
+
+
+def idf_weights(df: np.ndarray, n: float) -> np.ndarray:
+    """Weight of shingles that ``df`` of ``n`` documents hold: by the logarithm of their share, down to ``RARE``."""
+    share = np.clip(df.astype(np.float64) / max(n, 1.0), RARE, 1)
+    return (1 + DAMPING * np.log(share) / np.log(RARE)).astype(np.float32)
 
 
 def shingle_weights(docs: DataFrame, text: str) -> np.ndarray:
     """Weight by slot, from document frequencies over all rows; of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(SLOTS, dtype=np.uint64), 0
+        df, n = np.zeros(2 * SLOTS, dtype=np.uint64), 0
         for batch in batches:
             for t in batch.column(0):
-                df[np.unique(_slot(shingles(t.as_py().encode())[0]))] += np.uint64(1)
+                df[np.unique(_slots(shingles(t.as_py().encode())[0]))] += np.uint64(1)
             n += batch.num_rows
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(df, CHUNKS)]
         numbers = np.arange(CHUNKS, dtype=np.int32)
@@ -90,7 +102,7 @@ def shingle_weights(docs: DataFrame, text: str) -> np.ndarray:
         )
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SLOTS // CHUNKS, dtype=np.uint64)
+        total = np.zeros(2 * SLOTS // CHUNKS, dtype=np.uint64)
         for part in group["counts"]:
             total += np.frombuffer(zlib.decompress(part), dtype=np.uint64)
         return pd.DataFrame(
@@ -103,14 +115,13 @@ def shingle_weights(docs: DataFrame, text: str) -> np.ndarray:
     halfway = counted.withColumn("some", F.spark_partition_id() % 16).groupBy("chunk", "some").applyInPandas(merge, kinds)
     rows = sorted(halfway.groupBy("chunk").applyInPandas(merge, kinds).collect())  # CHUNKS rows
     n = float(sum(r["n"] for r in rows))
-    df = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint64) for r in rows]) if rows else np.zeros(SLOTS)
-    rarity = np.log((n + 2) / (df.astype(np.float64) + 1)) / np.log(n + 2)
-    return (1 + DAMPING * np.clip(rarity, 0, 1)).astype(np.float32)
+    df = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint64) for r in rows]) if rows else np.zeros(2 * SLOTS)
+    return idf_weights(df, n)
 
 
 def weighted_set(text: bytes, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashes, counts = shingles(text)
-    return hashes, counts * weights[_slot(hashes)]
+    return hashes, counts * weights[_slots(hashes)].max(axis=0)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -296,7 +307,7 @@ def near_duplicates(
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc"), F.unhex(F.md5(body)).alias("key"), body.alias("text")
     )
-    weights = docs.sparkSession.sparkContext.broadcast(shingle_weights(docs, text))  # SLOTS numbers
+    weights = docs.sparkSession.sparkContext.broadcast(shingle_weights(docs, text))  # 2 * SLOTS numbers
     banded = written(_banded(rows, weights), "bands")
     members = _members(banded)
     # One row of each text that is in a bucket, compressed.

@@ -170,6 +170,12 @@ def test_near_duplicates(spark):
     weights = near.shingle_weights(docs, "text")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     sets = {i: near.weighted_set(t.encode(), weights) for i, t in texts.items()}
+    true = Counter(h for hashes, _ in sets.values() for h in hashes.tolist())
+    hashes = np.fromiter(true, dtype=np.uint64, count=len(true))
+    exact = near.idf_weights(np.fromiter(true.values(), dtype=np.int64, count=len(true)), len(texts))
+    # Slots are shared by chance: few weights are off, and those by little.
+    off = np.abs(weights[near._slots(hashes)].max(axis=0) - exact)
+    assert (off > 1e-6).mean() < 0.005 and off.max() < 0.03 and exact.min() < 1.25
     parent = {i: i for i in texts}
 
     def top(i):
