@@ -37,6 +37,14 @@ def read_table_stream(
     return reader.parquet(path)
 
 
+def read_stored_table_stream(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """The table ``name`` of a folder of tables as a stream, be it one Parquet file or a directory of files.
+
+    A stream reads directories or globs; the name as a glob of one choice lets Spark list either.
+    """
+    return read_table_stream(spark, f"{folder.rstrip('/')}/{{{name}}}", schema)
+
+
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
     """Chat messages: one row per turn of a conversation."""
     return read_table(spark, path, CONVERSATIONS_SCHEMA)
