@@ -27,9 +27,9 @@ from promptward.rules import SEEDS
 from promptward.sources.folders import new_run
 from promptward.sources.tables import (
     AUDIT_SCHEMA,
+    CONVERSATIONS_SCHEMA,
     DOCUMENTS_SCHEMA,
     EVENTS_SCHEMA,
-    read_conversations_stream,
     read_stored_table_stream,
     read_table_stream,
 )
@@ -609,6 +609,6 @@ def stream_session_ranking(spark, sf_dir):
 @query
 def stream_latest_prompt(spark, sf_dir):
     """Newest user message of every conversation, from a stream of messages."""
-    stream = read_conversations_stream(spark, sf_dir, glob="conversations.parquet")
+    stream = read_stored_table_stream(spark, sf_dir, "conversations.parquet", CONVERSATIONS_SCHEMA)
     latest = _upserted(sj.stream_latest_turns(stream), "latest_turns", ["conv_id"])
     return conv.with_text_of(latest, pl.conversations(spark, sf_dir))

@@ -136,3 +136,4 @@ def test_queries_stream_tables_of_one_file_and_of_many(spark, tmp_path, files):
     run = lambda name: QUERIES[name](spark, str(tmp_path))
     assert run("stream_scan").count() == 12
     assert {r.output: r.rows for r in run("route_stream").collect()}["audit"] == 12
+    assert sorted(map(tuple, run("stream_latest_prompt").collect())) == [(c, 2, f"{c} 2") for c in range(4)]
