@@ -10,7 +10,9 @@ threshold are ever looked at:
 * of the rest, a word is looked up only while it and the words after it weigh enough: two
   texts that reach the threshold share such a word (prefix filter);
 * pairs whose sums and largest weights cannot give the threshold go before they are
-  verified (length filter).
+  summed (length filter);
+* the words that both sides look up give their part of the product in that same join.  Only the few
+  words left over are added afterwards, for pairs that can still reach the threshold.
 
 Weights are integers as in the in-row form, so both give the same scores.  Equal texts are
 compared once.  Nothing is broadcast by hint, and a word that many texts look up is dealt
@@ -55,7 +57,7 @@ def _ranked(terms: DataFrame, key: str, threshold: float) -> DataFrame:
     """Add what the filters need: ``lookup``, ``mass``, ``total`` and ``largest`` of the text.
 
     ``mass`` is the squared weight of all words that seeds hold, and a word is looked up
-    if the part of it from that word on reaches the threshold.
+    if the part of it from that word on reaches the threshold; ``rest`` is that of the others.
     """
     whole = Window.partitionBy(key)
     onwards = whole.orderBy("seeds", "word").rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -65,18 +67,21 @@ def _ranked(terms: DataFrame, key: str, threshold: float) -> DataFrame:
         terms.withColumn("mass", F.sum(square).over(whole))
         .filter(F.col("mass") >= F.col("norm2") * least)
         .withColumn("lookup", F.sum(square).over(onwards) >= F.col("norm2") * least)
+        .withColumn("rest", F.sum(F.when(~F.col("lookup"), square).otherwise(0)).over(whole))
         .withColumn("total", F.sum("weight").over(whole))
         .withColumn("largest", F.max("weight").over(whole))
     )
 
 
 def _seed_terms(seeds: DataFrame, seed_col: str, text: str) -> DataFrame:
-    """side (seed and digest of its text), norm2, word, weight and the number of seeds that hold the word."""
+    """side (number of a seed and text), seed, norm2, word, weight and the number of seeds that hold the word."""
     given = seeds.select(F.col(seed_col).alias("seed"), F.col(text).alias("text")).distinct()
-    given = given.select(F.struct("seed", F.md5("text").alias("digest")).alias("side"), "text")
-    counted = _spread(given, "side").groupBy("side", "norm2", "word").agg(F.count("*").alias("times"))
+    # Numbered as they are read back, so that a task that runs again gives the same numbers.
+    given = stored(given, "seeds").withColumn("side", F.monotonically_increasing_id())
+    counted = _spread(given, "side", "seed").groupBy("side", "seed", "norm2", "word").agg(F.count("*").alias("times"))
     held = counted.groupBy("word").agg(F.count("*").alias("seeds"))
-    return counted.join(held, "word").select("side", "norm2", "word", _weight("word", "times").alias("weight"), "seeds")
+    weight = _weight("word", "times").alias("weight")
+    return counted.join(held, "word").select("side", "seed", "norm2", "word", weight, "seeds")
 
 
 def seed_pairs(
@@ -110,41 +115,58 @@ def seed_pairs(
     )
     near = stored(_ranked(terms, "row", threshold), "near-terms")
 
+    # Equal texts are one from here on, under the number of the first row that has them.
     one = near.groupBy("key").agg(F.min("row").alias("row"))
-    texts = stored(near.join(one, ["key", "row"], "left_semi").drop("row", "id"), "texts")
-    other = _ranked(wanted, "side", threshold)
-
-    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
-    asked = texts.filter("lookup").select("key", "norm2", "total", "largest", "word", salt.alias("salt"))
-    kept = other.filter("lookup").select(
+    texts = stored(near.join(one, ["key", "row"], "left_semi").drop("key", "id"), "texts")
+    other = _ranked(wanted, "side", threshold).select(
         "side",
         "word",
-        F.col("norm2").alias("norm2_s"),
-        F.col("total").alias("total_s"),
-        F.col("largest").alias("largest_s"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+        "lookup",
+        *[F.col(c).alias(f"{c}_s") for c in ("norm2", "weight", "total", "largest", "rest")],
     )
+
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    asked = texts.filter("lookup").drop("lookup", "mass", "seeds").withColumn("salt", salt)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    kept = other.filter("lookup").drop("lookup").select("*", salts)
     norms = F.sqrt(F.col("norm2").cast("double")) * F.sqrt(F.col("norm2_s").cast("double"))
     reach = norms * (threshold * (1 - SLACK))
-    candidates = (
+    # Words are looked up in one order on both sides, so what is left over lies in the rest of the text or in
+    # the rest of the seed, whichever begins first.
+    left = F.greatest(
+        F.sqrt(F.col("rest").cast("double")) * F.sqrt(F.col("norm2_s").cast("double")),
+        F.sqrt(F.col("rest_s").cast("double")) * F.sqrt(F.col("norm2").cast("double")),
+    )
+    product = F.col("weight") * F.col("weight_s")
+    pair = ["row", "side", "norm2", "norm2_s"]
+    part = (
         asked.join(kept, ["word", "salt"])
         .filter((F.col("total") * F.col("largest_s") >= reach) & (F.col("total_s") * F.col("largest") >= reach))
-        .select("key", "side")
-        .distinct()
+        .groupBy(*pair, "rest", "rest_s")
+        .agg(F.sum(product).alias("dot"))
+        .filter(F.col("dot") + left >= reach)
+    )
+    part = stored(part.select(*pair, "dot"), "near-pairs")
+    pairs = part.select(*pair)
+    of_text = texts.select("row", "word", "weight", "lookup")
+    of_seed = other.select("side", "word", "weight_s", "lookup")
+    rest_of_text = pairs.join(of_text.filter(~F.col("lookup")), "row").join(of_seed.drop("lookup"), ["side", "word"])
+    rest_of_seed = pairs.join(of_seed.filter(~F.col("lookup")), "side").join(
+        of_text.filter("lookup").drop("lookup"), ["row", "word"]
     )
-    of_seed = other.select("side", "word", F.col("weight").alias("weight_s"), F.col("norm2").alias("norm2_s"))
     found = (
-        candidates.join(texts.select("key", "norm2", "word", "weight"), "key")
-        .join(of_seed, ["side", "word"])
-        .groupBy("key", "norm2", "side", "norm2_s")
-        .agg(F.sum(F.col("weight") * F.col("weight_s")).alias("dot"))
-        .select("key", F.col("side.seed").alias("seed"), (F.col("dot") / norms).alias("score"))
+        part.unionByName(rest_of_text.select(*pair, product.alias("dot")))
+        .unionByName(rest_of_seed.select(*pair, product.alias("dot")))
+        .groupBy(*pair)
+        .agg(F.sum("dot").alias("dot"))
+        .select("row", "side", (F.col("dot") / norms).alias("score"))
         .filter(F.col("score") >= threshold)
-        .groupBy("key", "seed")
+        .join(wanted.select("side", "seed").distinct(), "side")
+        .groupBy("row", "seed")
         .agg(F.max("score").alias("score"))
     )
-    rows = near.select("row", "id", "key").distinct()
-    return rows.join(found, "key").select(F.col("id").alias(id_col), F.col("seed").alias(seed_col), "score")
+    owners = near.select("key", "row", "id").distinct().select("key", "id").join(one, "key")
+    return owners.join(found, "row").select(F.col("id").alias(id_col), F.col("seed").alias(seed_col), "score")
 
 
 def seed_table_check(

@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from promptward.functions.similarity import seed_of
 from promptward.operators import seedtable
@@ -124,3 +125,20 @@ def test_label_sweep(spark):
         0.75: (1, 0, 2, 1.0, 1 / 3),
         1.0: (1, 0, 2, 1.0, 1 / 3),
     }
+
+
+def test_products_are_summed_where_words_meet(spark, monkeypatch):
+    """A pair gets its product where its words meet; no text is joined with all its words once per candidate."""
+    parts = {}
+    keep = seedtable.stored
+    monkeypatch.setattr(seedtable, "stored", lambda df, name: parts.setdefault(name, keep(df, name)))
+    texts, seeds = [*enumerate(sample(60, 5))], [*enumerate(sample(20, 6))]
+    df = spark.createDataFrame(texts, "doc_id INT, text STRING")
+    got = seed_pairs(df, spark.createDataFrame(seeds, "item_id INT, text STRING"), threshold=0.2701)
+    want = brute(texts, seeds, 0.2701)
+    assert {(r.doc_id, r.item_id): r.score for r in got.collect()} == pytest.approx(want)
+    # Most of the product of the pairs found is there before anything is joined by pairs.
+    weights = lambda t: seed_of("", t).weights
+    dot = lambda a, b: sum(n * b.get(w, 0) for w, n in a.items())
+    whole = sum(dot(weights(t), weights(s)) for t, s in {(texts[d][1], seeds[i][1]) for d, i in want})
+    assert parts["near-pairs"].agg(F.sum("dot")).first()[0] >= 0.8 * whole
