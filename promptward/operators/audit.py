@@ -45,22 +45,47 @@ def to_audit(
     model: Column | str | None = None,
 ) -> DataFrame:
     """Audit rows of a verdict table: the prompt itself is kept as a hash only."""
+    parts = verdicts.withColumns(_prompt_columns(text))
+    return stamped_audit(parts, session, timestamp, latency, model)
+
+
+def _prompt_columns(text: str) -> dict[str, Column]:
+    """What an audit row has from its prompt alone."""
+    score = F.when(F.col("vector_check.triggered"), F.col("vector_check.similarity_score"))
+    return {
+        "_hash": prompt_hash(F.col(text)),
+        "_shown": F.substring("masked_prompt", 1, MASKED_PROMPT_CHARS),
+        "_score": score,
+    }
+
+
+def prompt_parts(verdicts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """``keys`` and what ``stamped_audit`` needs of each prompt: no text, so joins carry none."""
+    parts = verdicts.withColumns(_prompt_columns(text))
+    return parts.select(*keys, "_hash", "_shown", "_score", "risk_level", "attack_type", "blocked", "triggered_rules")
+
+
+def stamped_audit(
+    parts: DataFrame,
+    session: Column | str = "session_id",
+    timestamp: Column | str = "ts",
+    latency: Column | str = "latency_ms",
+    model: Column | str | None = None,
+) -> DataFrame:
+    """Audit rows of ``prompt_parts`` joined with the requests that sent the prompts."""
     session, timestamp, latency = _column(session), _column(timestamp), _column(latency)
-    hashed = verdicts.withColumn("_hash", prompt_hash(F.col(text)))
-    return hashed.select(
+    return parts.select(
         audit_id(session, timestamp, F.col("_hash")).alias("id"),
         timestamp.alias("timestamp"),
         F.col("_hash").alias("prompt_hash"),
-        F.substring("masked_prompt", 1, MASKED_PROMPT_CHARS).alias("masked_prompt"),
+        F.col("_shown").alias("masked_prompt"),
         "risk_level",
         "attack_type",
         latency.cast("int").alias("latency"),
         (F.lit(DEFAULT_MODEL) if model is None else _column(model)).alias("model_used"),
         "blocked",
         "triggered_rules",
-        F.when(F.col("vector_check.triggered"), F.col("vector_check.similarity_score")).alias(
-            "similarity_score"
-        ),
+        F.col("_score").alias("similarity_score"),
         session.alias("session_id"),
     )
 

@@ -73,6 +73,7 @@ def write_audit(
     (
         days.repartition("dt", bucket)
         .write.mode(mode)
+        .option("compression", "zstd")
         .option("maxRecordsPerFile", file_rows)
         .partitionBy("dt")
         .parquet(path)
