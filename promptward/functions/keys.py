@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promptward.functions.patterns import LOWER_ALNUM
 from promptward.functions.scalars import sql_str
 
 
@@ -34,7 +35,7 @@ def with_lower_text(df: DataFrame, text: str) -> tuple[DataFrame, TextKeys]:
 def with_text_keys(df: DataFrame, text: str) -> tuple[DataFrame, TextKeys]:
     k = TextKeys()
     df = df.withColumn(k.lower, F.lower(text))
-    df = df.withColumn(k.words, F.split(k.lower, "[^a-z0-9]+"))
+    df = df.withColumn(k.words, F.split(k.lower, f"[^{LOWER_ALNUM}]+"))
     df = df.withColumn(k.distinct, F.array_distinct(k.words))
     return df.withColumn(k.vocabulary, F.array_join(k.distinct, " ")), k
 

@@ -10,10 +10,15 @@ same matches in linear time, which matters when one hostile page can hold up a t
 from __future__ import annotations
 
 import re
+import string
 
 from promptward.rules import PII_PATTERNS, RULES
 
-WORD = r"[0-9A-Za-z_]"
+# Classes that every character of a text is tried with name each of their characters: Java
+# looks those up in one table, where it asks one range after the other.
+LOWER_ALNUM = string.digits + string.ascii_lowercase
+_ALNUM = LOWER_ALNUM + string.ascii_uppercase
+WORD = rf"[{_ALNUM}_]"
 BOUNDARY = rf"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
 # ECMAScript blanks: ASCII ones, then no-break, ogham, en quad to hair space, line and
 # paragraph separators, narrow no-break, medium mathematical, ideographic, zero-width no-break.
@@ -92,7 +97,7 @@ def rule_regex(pattern: str) -> tuple[str, int]:
     return java_regex(LINEAR.get(pattern, pattern)), MATCH_GROUP.get(pattern, 0)
 
 
-_LOCAL = r"[a-zA-Z0-9._%+\-]"
+_LOCAL = rf"[{_ALNUM}._%+\-]"
 
 # Word boundaries next to a known character need only one look-around.  An e-mail
 # match starts at the first word of a run of address characters, or where the

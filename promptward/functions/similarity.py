@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from promptward.functions.arrays import bind
 from promptward.functions.keys import TextKeys
+from promptward.functions.patterns import LOWER_ALNUM
 from promptward.functions.scalars import sql_str, three_decimals
 from promptward.rules import BOOST_FACTOR, BOOST_TERMS, DEFAULT_THRESHOLD, SEEDS, STOPWORDS
 
@@ -47,23 +48,51 @@ def _in(word: str, words: Iterable[str]) -> str:
     return f"{word} IN ({', '.join(sql_str(w) for w in words)})"
 
 
-def tokens(keys: TextKeys, seeds: tuple[Seed, ...]) -> Column:
-    """Words of two or more letters or digits that are not stopwords.
+def shared_words(keys: TextKeys, seeds: tuple[Seed, ...]) -> Column:
+    """The distinct tokens of a text that any seed has; tokens are words of two or more characters and no stopwords."""
+    return F.expr(f"array_intersect({keys.distinct}, {_array(filter(_is_token, vocabulary(seeds)))})")
 
-    Empty where no seed has any of the words: the score is zero then, whatever
-    else the text holds.
+
+def repeated_words(keys: TextKeys, shared: str) -> Column:
+    """``array<struct<word, n>>``: the tokens that a text holds more than once, with their number.
+
+    Empty where ``shared`` is: the score is zero then, whatever else the text holds.  Equal words are
+    side by side once sorted, and a regex finds runs of them at a fraction of what a fold over all words takes.
     """
-    seed_words = ", ".join(sql_str(w) for w in vocabulary(seeds))
+    runs = f"regexp_extract_all(array_join(sort_array({keys.words}), ' '), {sql_str(RUN)}, 0)"
     return F.expr(
-        f"""IF(arrays_overlap({keys.words}, array({seed_words})),
-               filter({keys.words}, w -> length(w) > 1 AND NOT {_in('w', STOPWORDS)}),
-               CAST(array() AS array<string>))"""
+        f"""IF(size({shared}) > 0,
+               filter(
+                   transform(
+                       transform({runs}, r -> named_struct('word', substring_index(r, ' ', 1), 'size', length(r))),
+                       r -> named_struct('word', r.word, 'n', (r.size + 1) DIV (length(r.word) + 1))),
+                   r -> length(r.word) > 1 AND NOT {_in('r.word', STOPWORDS)}),
+               CAST(array() AS array<struct<word:string,n:bigint>>))"""
     )
 
 
-def seed_words(words: str, seeds: tuple[Seed, ...]) -> Column:
-    """The words of a text that occur in any seed, with repeats."""
-    return F.expr(f"filter({words}, w -> {_in('w', vocabulary(seeds))})")
+#: Two or more equal words in a row, among words joined by single blanks.
+RUN = f"(?<![{LOWER_ALNUM}])([{LOWER_ALNUM}]++)(?: \\1(?![{LOWER_ALNUM}]))++"
+
+
+def _is_token(word: str) -> bool:
+    return len(word) > 1 and word not in STOPWORDS
+
+
+def _array(words: Iterable[str]) -> str:
+    return f"CAST(array({', '.join(sql_str(w) for w in words)}) AS array<string>)"
+
+
+def tokens_norm(keys: TextKeys, repeated: str) -> str:
+    """Sum over distinct tokens of (count x weight)^2: all of them once, and what the repeated ones add."""
+    others = _array(("", *LOWER_ALNUM, *STOPWORDS))
+    boosted = _array(filter(_is_token, BOOST_TERMS))
+    more = BOOST_FACTOR * BOOST_FACTOR
+    return f"""
+        CAST(size(array_except({keys.distinct}, {others})) AS BIGINT)
+        + {more - 1}L * size(array_intersect({keys.distinct}, {boosted}))
+        + aggregate({repeated}, 0L,
+                    (total, r) -> total + (r.n * r.n - 1L) * IF({_in('r.word', BOOST_TERMS)}, {more}L, 1L))"""
 
 
 def vocabulary(seeds: tuple[Seed, ...]) -> list[str]:
@@ -85,10 +114,10 @@ def squared_norm(words: str) -> str:
             run -> {ended})"""
 
 
-def seed_scores(words: str, shared: str, seeds: tuple[Seed, ...]) -> Column:
+def seed_scores(keys: TextKeys, shared: str, repeated: str, seeds: tuple[Seed, ...]) -> Column:
     """``array<struct<seed_ord, seed, score>>`` with one element per seed.
 
-    ``words`` are the tokens of the text, ``shared`` those of them in any seed.
+    ``shared`` and ``repeated`` name the columns of ``shared_words`` and ``repeated_words``.
     """
     gains = ", ".join(
         f"{sql_str(w)}, array({', '.join(f'{term_weight(w) * s.weights.get(w, 0)}L' for s in seeds)})"
@@ -104,10 +133,13 @@ def seed_scores(words: str, shared: str, seeds: tuple[Seed, ...]) -> Column:
         IF(size({shared}) > 0,
            element_at(transform(
                array(named_struct(
-                   'norm', sqrt(CAST({squared_norm(words)} AS DOUBLE)),
-                   'dots', aggregate({shared}, array({zeros}),
-                                     (acc, w) -> zip_with(acc, element_at(map({gains}), w),
-                                                          (a, g) -> a + g)))),
+                   'norm', sqrt(CAST({tokens_norm(keys, repeated)} AS DOUBLE)),
+                   'dots', aggregate(
+                       concat(transform({shared}, w -> named_struct('word', w, 'n', 1L)),
+                              transform(filter({repeated}, r -> {_in('r.word', vocabulary(seeds))}),
+                                        r -> named_struct('word', r.word, 'n', r.n - 1L))),
+                       array({zeros}),
+                       (acc, r) -> zip_with(acc, element_at(map({gains}), r.word), (a, g) -> a + r.n * g)))),
                t -> zip_with(array({table}), t.dots, (s, dot) -> named_struct(
                    'seed_ord', s.seed_ord, 'seed', s.seed,
                    'score', IF(dot > 0, dot / (t.norm * s.norm), 0D)))), 1),

@@ -24,10 +24,10 @@ def with_seed_scores(
     own_keys = keys is None
     if own_keys:
         df, keys = with_text_keys(df, text)
-    df = df.withColumn("_words", fx.tokens(keys, seeds))
-    df = df.withColumn("_shared", fx.seed_words("_words", seeds))
-    df = df.withColumn("_scores", fx.seed_scores("_words", "_shared", seeds))
-    return df.drop("_words", "_shared", *(keys if own_keys else ()))
+    df = df.withColumn("_shared", fx.shared_words(keys, seeds))
+    df = df.withColumn("_repeated", fx.repeated_words(keys, "_shared"))
+    df = df.withColumn("_scores", fx.seed_scores(keys, "_shared", "_repeated", seeds))
+    return df.drop("_shared", "_repeated", *(keys if own_keys else ()))
 
 
 def seed_similarity(
