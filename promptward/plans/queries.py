@@ -502,7 +502,7 @@ def _audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as they arrive, each with the stored verdict of its document."""
     docs = pl.documents(spark, sf_dir)
     events = read_stored_table_stream(spark, sf_dir, "events.parquet", EVENTS_SCHEMA)
-    return pl.audit_of(events, docs)
+    return pl.audit_stream_of(events, docs)
 
 
 def _to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
