@@ -24,8 +24,16 @@ def scan_events(
 
     Matched values are left out of the events; only their masks travel.
     """
-    session, timestamp = _column(session), _column(timestamp)
-    model = F.lit(DEFAULT_MODEL) if model is None else _column(model)
+    return stamped_events(verdicts.select("*", *_event_columns(text)), session, timestamp, latency, model)
+
+
+def event_parts(verdicts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """``keys`` and what ``stamped_events`` needs of each prompt: hash and events are made once for all requests."""
+    return verdicts.select(*keys, *_event_columns(text), "risk_level", "blocked")
+
+
+def _event_columns(text: str) -> list[Column]:
+    """What an event has from its prompt alone: the hash, and the JSON up to the last field of the scan result."""
     hits = F.transform(
         "pii_matches",
         lambda h: F.struct(h["type"].alias("type"), h["masked"].alias("masked"), h["start"].alias("start"), h["end"].alias("end")),
@@ -52,25 +60,45 @@ def scan_events(
             vector["closest_seed"].alias("closestSeed"),
         ).alias("vectorCheck"),
         F.col("triggered_rules").alias("triggeredRules"),
-        _column(latency).cast("int").alias("latencyMs"),
     )
-    stamped = verdicts.select(
-        audit_id(session, timestamp, prompt_hash(F.col(text))).alias("request_id"),
+    opened = F.to_json(F.struct(F.lit("metadata").alias("type"), result.alias("scanResult")))
+    return [
+        prompt_hash(F.col(text)).alias("_hash"),
+        F.regexp_replace(opened, r"\}\}\z", "").alias("_opened"),
+    ]
+
+
+def stamped_events(
+    parts: DataFrame,
+    session: Column | str = "session_id",
+    timestamp: Column | str = "ts",
+    latency: Column | str = "latency_ms",
+    model: Column | str | None = None,
+) -> DataFrame:
+    """Events of ``event_parts`` joined with the requests that sent the prompts."""
+    session, timestamp, latency = _column(session), _column(timestamp), _column(latency).cast("int")
+    model = F.lit(DEFAULT_MODEL) if model is None else _column(model)
+    stamped = parts.select(
+        audit_id(session, timestamp, F.col("_hash")).alias("request_id"),
         timestamp.alias("timestamp"),
         "risk_level",
         "blocked",
         F.when(F.col("blocked"), BLOCKED_MODEL).otherwise(model).alias("_model"),
-        result.alias("_result"),
+        latency.alias("_latency"),
+        "_opened",
     )
-    metadata = F.to_json(
+    comma = F.when(F.col("_opened").endswith("{"), "").otherwise(",")
+    last_field = F.when(
+        F.col("_latency").isNotNull(), F.concat(comma, F.lit('"latencyMs":'), F.col("_latency").cast("string"))
+    ).otherwise("")
+    request = F.to_json(
         F.struct(
-            F.lit("metadata").alias("type"),
-            F.col("_result").alias("scanResult"),
             F.col("_model").alias("model"),
             F.col("request_id").alias("requestId"),
             utc_text(F.col("timestamp")).alias("timestamp"),
         )
     )
+    metadata = F.concat("_opened", last_field, F.lit("},"), request.substr(F.lit(2), F.length(request)))
     error = F.to_json(
         F.struct(
             F.lit("error").alias("type"),

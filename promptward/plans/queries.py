@@ -457,7 +457,7 @@ def session_labels(spark, sf_dir):
 
 @query
 def scan_events(spark, sf_dir):
-    return evt.scan_events(pl.planted_scan(spark, sf_dir))
+    return pl.planted_events(spark, sf_dir)
 
 
 @query
