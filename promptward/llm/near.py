@@ -46,9 +46,15 @@ RARE = 1 / 256
 DAMPING = 0.25
 #: Entries of the table of random variates of one hash.
 VARIATES = 1 << 14
-#: Pivots of a bucket in the first rounds and in the one after; each later one takes
+#: Pivots of a bucket in the round after the first, which has one; each later one takes
 #: ``GROWTH`` times as many, so the number of rounds is that of a bucket's digits.
-PIVOTS, MORE_PIVOTS, GROWTH = 1, 4, 4
+MORE_PIVOTS, GROWTH = 16, 16
+#: Shingles of the members and of the pivots that meet in one cell, about.
+BLOCK = 1 << 18
+#: Rows of a cell that go on together.
+EMITTED = 10_000
+#: What rounding may add to a distance.
+SLACK = 1e-9
 #: Shingles that are sampled together.
 TOGETHER = 1 << 16
 
@@ -176,7 +182,7 @@ def band_hashes(samples: np.ndarray) -> np.ndarray:
 
 
 def _banded(rows: DataFrame, weights) -> DataFrame:
-    """doc, key and band hashes of every row with words."""
+    """doc, key, number of shingles and band hashes of every row with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, table = Sampler(), weights.value
@@ -194,50 +200,45 @@ def _banded(rows: DataFrame, weights) -> DataFrame:
                     bands = band_hashes(sampler.sample(*joined, starts))
                     lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))
                     picked = batch.take(pa.array(at))
+                    many = pa.array([len(h) for h, _ in sets], pa.int32())
                     yield pa.RecordBatch.from_arrays(
-                        [picked.column(0), picked.column(1), lists], names=["doc", "key", "bands"]
+                        [picked.column(0), picked.column(1), many, lists], names=["doc", "key", "shingles", "bands"]
                     )
                     sets, at, size = [], [], 0
 
-    return rows.select("doc", "key", "text").mapInArrow(run, "doc BIGINT, key BINARY, bands ARRAY<BIGINT>")
+    return rows.select("doc", "key", "text").mapInArrow(run, "doc BIGINT, key BINARY, shingles INT, bands ARRAY<BIGINT>")
 
 
 def _members(banded: DataFrame) -> DataFrame:
-    """bucket, key, rank: distinct texts of buckets with at least two, the most central first."""
-    texts = banded.dropDuplicates(["key"]).select("key", F.explode("bands").alias("bucket"))
+    """bucket, key, shingles, central, volume: distinct texts of buckets with at least two; of buckets with the same texts one.
+
+    Texts are ``central`` by the members of all their buckets, those left out too; ``volume`` has all shingles of a bucket.
+    """
+    texts = banded.dropDuplicates(["key"]).select("key", "shingles", F.explode("bands").alias("bucket"))
     sizes = texts.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     shared = written(texts.join(sizes.hint("merge"), "bucket"), "shared")
     central = shared.groupBy("key").agg(F.sum("size").alias("central"))
-    return written(shared.select("bucket", "key").join(central.hint("merge"), "key"), "members")
+    prints = [F.bit_xor(F.xxhash64("key", F.lit(salt))).alias(f"print_{salt}") for salt in (1, 2)]
+    buckets = shared.groupBy("bucket", "size").agg(F.sum("shingles").alias("volume"), *prints)
+    kept = buckets.groupBy("size", "volume", "print_1", "print_2").agg(F.min("bucket").alias("bucket"))
+    members = shared.join(kept.select("bucket", "volume").hint("merge"), "bucket").join(central.hint("merge"), "key")
+    return written(members.select("bucket", "key", "shingles", "central", "volume"), "members")
 
 
-def _first_pivots(members: DataFrame) -> DataFrame:
-    """The most central members of every bucket; ranks are cut off below the shuffle."""
+def _first(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` most central of ``rows`` in every bucket as pivots; ranks are cut off below the shuffle."""
     order = Window.partitionBy("bucket").orderBy(F.col("central").desc(), "key")
-    return members.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOTS).select("bucket", F.col("key").alias("pivot"))
-
+    ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return ranked.select("bucket", F.col("key").alias("pivot"), "shingles")
 
-def _nearest_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Pairs of a member and the most central pivot of all its buckets: one comparison per member.
 
-    Members of a group of copies share many buckets, and their pivots are much the same; once the
-    classes of this round are known, the other pivots need only be tried across classes.
-    """
-    of_pivot = members.groupBy(F.col("key").alias("pivot")).agg(F.max("central").alias("weight"))
-    best = F.max(F.struct("weight", "pivot")).alias("best")
-    met = members.select("bucket", "key").join(pivots.join(of_pivot, "pivot"), "bucket")
-    chosen = met.groupBy("key").agg(best).select("key", F.col("best.pivot").alias("pivot")).filter("key != pivot")
-    return chosen.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+def _met(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """bucket, key, pivot: every member with the one pivot that its bucket has."""
+    return members.select("bucket", "key").join(pivots.drop("shingles"), "bucket").filter("key != pivot")
 
 
-def _pairs(members: DataFrame, pivots: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs of a pivot and a member of its bucket that is not yet in the same class."""
-    met = members.select("bucket", "key").join(pivots, "bucket").filter("key != pivot")
-    of_key = labels.select(F.col("node").alias("key"), F.col("label").alias("key_label"))
-    of_pivot = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
-    met = met.join(of_key, "key", "left").join(of_pivot, "pivot", "left")
-    met = met.filter(F.coalesce(F.col("key_label") != F.col("pivot_label"), F.lit(True)))
-    return met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
@@ -261,35 +262,165 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     return both.mapInArrow(run, "a BINARY, b BINARY, similarity DOUBLE")
 
 
-def _later_pivots(members: DataFrame, used: DataFrame, seen: DataFrame, labels: DataFrame, bound: float, most: int) -> DataFrame:
-    """Members that could still have an unseen link to another class of their bucket."""
-    mirrored = seen.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "similarity").unionByName(
-        seen.select(F.col("b").alias("key"), F.col("a").alias("pivot"), "similarity")
-    )
-    of_key = labels.select(F.col("node").alias("key"), F.col("label").alias("key_label"))
-    of_pivot = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
-    met = (
-        members.join(used, "bucket")
-        .join(mirrored, ["key", "pivot"], "left")
-        .join(of_key, "key", "left")
-        .join(of_pivot, "pivot", "left")
-        .withColumn("same", F.coalesce(F.col("key_label") == F.col("pivot_label"), F.lit(False)) | (F.col("key") == F.col("pivot")))
+def _cell(pivots: list[tuple], members: list[tuple], bound: float, whole: bool) -> Iterator[tuple]:
+    """key, pivot and similarity of what later rounds need of pivots and members: (key, label, weighted set) each.
+
+    That is the nearest pivot of a member that one covers, links that join classes, and pivots of other classes that
+    could reach a member: from ``2 * bound - 1`` on, or closer where the bucket is ``whole`` in this
+    cell, since then the members that a pivot covers are all here.
+    """
+    starts = np.cumsum([0, *(len(m[2][0]) for m in members[:-1])])
+    hashes, weights = (np.concatenate([m[2][i] for m in members]) for i in (0, 1))
+    known, at = np.unique(hashes, return_inverse=True)
+    totals = np.add.reduceat(weights, starts, dtype=np.float64)
+    place_of = {m[0]: i for i, m in enumerate(members)}
+    best, chosen, alike = np.zeros(len(members)), np.full(len(members), -1), []
+    for j, (pivot, _, (own, own_weights)) in enumerate(pivots):
+        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        held = known[place] == own
+        of_pivot = np.zeros(len(known))
+        of_pivot[place[held]] = own_weights[held]
+        common = np.add.reduceat(np.minimum(weights, of_pivot[at]), starts)
+        found = common / (totals + own_weights.sum(dtype=np.float64) - common)
+        if pivot in place_of:
+            found[place_of[pivot]] = 0
+        nearer = (found >= bound) & (found > best)
+        best[nearer], chosen[nearer] = found[nearer], j
+        some = np.flatnonzero(found >= 2 * bound - 1 - SLACK)
+        alike.append((some, found[some]))
+    plain = np.ones(len(members), dtype=bool)  # no pivots themselves
+    plain[[place_of[p[0]] for p in pivots if p[0] in place_of]] = False
+
+    above: dict[bytes, bytes] = {}
+
+    def top(label: bytes) -> bytes:
+        while (up := above.get(label, label)) != label:
+            label = up
+        return label
+
+    def joins(i: int, j: int) -> bool:
+        one, two = top(members[i][1]), top(pivots[j][1])
+        above[max(one, two)] = min(one, two)
+        return one != two
+
+    for i in np.flatnonzero(plain & (chosen >= 0)):
+        joins(i, chosen[i])
+        yield members[i][0], pivots[chosen[i]][0], float(best[i])
+    for j, (some, found) in enumerate(alike):
+        for i, similar in zip(some, found):
+            if similar >= bound and joins(i, j):
+                yield members[i][0], pivots[j][0], float(similar)
+    numbers = {x: n for n, x in enumerate({top(x[1]) for x in [*members, *pivots]})}
+    classes = np.array([numbers[top(m[1])] for m in members])
+    for j, (some, found) in enumerate(alike):
+        covers = best[plain & (chosen == j)]
+        if whole and not len(covers):
+            continue
+        least = (bound + covers.min() - 1 if whole else 2 * bound - 1) - SLACK
+        foreign = (found >= least) & (found < bound) & plain[some] & (classes[some] != numbers[top(pivots[j][1])])
+        for i, similar in zip(some[foreign], found[foreign]):
+            yield members[i][0], pivots[j][0], float(similar)
+
+
+def _crossed(
+    members: DataFrame, used: DataFrame, pivots: DataFrame, labels: DataFrame, texts: DataFrame, weights, bound: float
+) -> DataFrame:
+    """bucket, key, pivot, similarity: new pivots against the members of their buckets, what ``_cell`` tells of them.
+
+    The members of a bucket and its pivots are dealt into blocks; a cell has one of each, and a
+    text goes to a cell once, not to every pair.  Pivots of earlier rounds have met all members, and members that are in
+    the class of all new pivots stay out too.
+    """
+    named = lambda rows, key: rows.join(labels.withColumnRenamed("node", key), key, "left").withColumn(
+        "label", F.coalesce("label", key)
     )
-    near = F.col("similarity")
-    open_members = (
-        met.groupBy("bucket", "key", "central")
-        .agg(
-            F.max(F.col("key") == F.col("pivot")).alias("is_pivot"),
-            F.max(F.coalesce(near >= bound, F.lit(False))).alias("covered"),
-            F.max(~F.col("same") & F.coalesce(near >= 2 * bound - 1, F.lit(False))).alias("reached"),
-            F.min("same").alias("done"),
-        )
-        .filter(~F.col("is_pivot") & ~F.col("done") & (~F.col("covered") | F.col("reached")))
+    classes = named(pivots, "pivot").groupBy("bucket").agg(
+        F.sum("shingles").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")
     )
-    order = Window.partitionBy("bucket").orderBy(F.col("central").desc(), "key")
-    return open_members.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(
-        "bucket", F.col("key").alias("pivot")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("key", F.lit(3)), blocks(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    shown = ["bucket", "part", "block", "role", "whole", "label", "key"]
+    rows = named(members.join(classes, "bucket"), "key").withColumn("whole", blocks("volume") == 1)
+    others = rows.join(used.select("bucket", F.col("pivot").alias("key")), ["bucket", "key"], "left_anti")
+    others = others.filter((F.col("low") != F.col("high")) | (F.col("label") != F.col("low")))
+    others = others.withColumns({"part": dealt("volume"), "role": F.lit(1)}).select("*", each("many").alias("block"))
+    of_pivot = rows.join(pivots.select("bucket", F.col("pivot").alias("key")), ["bucket", "key"])
+    of_pivot = of_pivot.withColumns({"block": dealt("many"), "role": F.lit(0)}).select("*", each("volume").alias("part"))
+    cells = others.select(*shown).unionByName(of_pivot.select(*shown)).hint("merge").join(texts.hint("merge"), "key")
+    cell = ["bucket", "part", "block"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, now, held = weights.value, None, ([], [])
+        found: list[tuple] = []
+
+        def packed() -> pa.RecordBatch:
+            names = ["bucket", "key", "pivot", "similarity"]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.float64()]
+            columns = [[r[i] for r in found] for i in range(len(names))]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if held[0] and held[1]:
+                for row in _cell(*held, bound, now[3]):
+                    found.append((now[0], *row))
+                    if len(found) >= EMITTED:
+                        yield packed()
+
+        for batch in batches:
+            plain = [batch.column(i).to_pylist() for i in range(len(shown))]
+            for *place, role, whole, label, key, text in zip(*plain, batch.column(len(shown))):
+                if (*place, whole) != now:
+                    yield from ended()
+                    now, held = (*place, whole), ([], [])
+                held[role].append((key, label, weighted_set(unsqueezed(text.as_py()), table)))
+        yield from ended()
+        yield packed()
+
+    # A number, so that no adaptive read joins cells into a few tasks.
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = cells.select(*shown, "text").repartition(n, *cell).sortWithinPartitions(*cell)
+    return ready.mapInArrow(run, "bucket BIGINT, key BINARY, pivot BINARY, similarity DOUBLE")
+
+
+def _open(members: DataFrame, used: DataFrame, near: DataFrame, labels: DataFrame, bound: float) -> DataFrame:
+    """Members that could still have an unseen link to another class of their bucket, with ``central``.
+
+    Two members that are no pivots have no such link where a pivot covers one of them and is far from the other:
+    farther than 1 - ``bound`` beyond the farthest member that it covers.  What is left are members that no pivot
+    covers, where they are of several classes, and members that a pivot of another class reaches; if
+    both are covered, one of the two has to become a pivot, and that is the one of the smaller class.
+    """
+    sizes = labels.groupBy("label").agg(F.count("*").alias("class_size"))
+    named = labels.join(sizes, "label").select("node", "label", "class_size")
+
+    def classed(rows: DataFrame, key: str, label: str, size: str) -> DataFrame:
+        of = named.select(F.col("node").alias(key), F.col("label").alias("_label"), F.col("class_size").alias("_size"))
+        return rows.join(of, key, "left").withColumns(
+            {label: F.coalesce("_label", key), size: F.coalesce("_size", F.lit(1))}
+        ).drop("_label", "_size")
+
+    pivots = used.select("bucket", F.col("pivot").alias("key"))
+    rest = classed(members.join(pivots, ["bucket", "key"], "left_anti"), "key", "label", "many")
+    seen = near.join(pivots, ["bucket", "key"], "left_anti")
+    links = seen.filter(F.col("similarity") >= bound)
+    covered = links.select("bucket", "key", F.lit(True).alias("covered")).distinct()
+    farthest = links.groupBy("bucket", "pivot").agg(F.min("similarity").alias("least"))
+    reached = seen.filter(F.col("similarity") < bound).join(farthest, ["bucket", "pivot"])
+    reached = reached.filter(F.col("similarity") >= bound + F.col("least") - 1 - SLACK).select("bucket", "key", "pivot")
+    reached = classed(classed(reached, "key", "label", "many"), "pivot", "top_label", "top_many")
+    reached = reached.filter("label != top_label").groupBy("bucket", "key").agg(
+        F.max(F.struct("top_many", "top_label")).alias("top")
     )
+    state = rest.join(covered, ["bucket", "key"], "left").join(reached, ["bucket", "key"], "left")
+    state = written(state.withColumn("covered", F.coalesce("covered", F.lit(False))), "state")
+    mixed = state.filter("not covered").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = mixed.filter("low != high").select("bucket", F.lit(True).alias("mixed"))
+    smaller = F.struct("many", "label") < F.struct("top.top_many", "top.top_label")
+    alone = ~F.col("covered") & (F.col("mixed").isNotNull() | F.col("top").isNotNull())
+    crossing = F.col("covered") & F.col("top").isNotNull() & smaller
+    return state.join(mixed, "bucket", "left").filter(alone | crossing).select("bucket", "key", "shingles", "central")
 
 
 def near_duplicates(
@@ -317,21 +448,21 @@ def near_duplicates(
     texts = squeezed(rows).alias("t").join(wanted.alias("w").hint("merge"), same).select("t.key", "t.text")
     texts = written(texts, "texts").dropDuplicates(["key"])
 
-    pivots = written(_first_pivots(members), "pivots")
-    used, most = pivots, MORE_PIVOTS
-    seen = written(_verified(_nearest_pivots(members, pivots), texts, weights), "verified")
-    labels = components(seen.filter(F.col("similarity") >= bound).select("a", "b"))
+    pivots = used = written(_first(members, 1), "pivots")
+    met = _met(members, pivots)
+    seen = written(_verified(_ordered(met), texts, weights).filter(F.col("similarity") >= 2 * bound - 1 - SLACK), "verified")
+    either = seen.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "similarity").unionByName(
+        seen.select(F.col("b").alias("key"), F.col("a").alias("pivot"), "similarity")
+    )
+    near, most = written(met.join(either, ["key", "pivot"]).select("bucket", "key", "pivot", "similarity"), "near"), MORE_PIVOTS
     while True:
-        pairs = _pairs(members, pivots, labels).join(seen, ["a", "b"], "left_anti")
-        found = written(_verified(pairs, texts, weights), "verified")
-        seen = written(seen.unionByName(found), "verified")
-        links = seen.filter(F.col("similarity") >= bound).select("a", "b")
-        labels = components(links)
-        pivots = written(_later_pivots(members, used, seen, labels, bound, most), "pivots")
-        most *= GROWTH
+        labels = components(_ordered(near.filter(F.col("similarity") >= bound)))
+        pivots = written(_first(_open(members, used, near, labels, bound), most), "pivots")
         if not pivots.limit(1).count():
             break
-        used = written(used.unionByName(pivots), "pivots")
+        near = near.unionByName(written(_crossed(members, used, pivots, labels, texts, weights, bound), "near"))
+        used = used.unionByName(pivots)
+        most *= GROWTH
 
     labelled = written(
         rows.select("doc", "key")
