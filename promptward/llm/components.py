@@ -34,3 +34,16 @@ def components(links: DataFrame) -> DataFrame:
         if not jumped.join(old, "node").filter("label != old").limit(1).count():
             return jumped
         labels = jumped
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` of ``components`` after more (a, b) links: only links between components go through its rounds."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = written(ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).filter("a != b").distinct(), "links")
+    if not ends.limit(1).count():
+        return labels
+    tops = components(ends).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    lifted = labels.join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    fresh = tops.withColumnRenamed("label", "node").join(labels, "node", "left_anti").select("node", F.col("top").alias("label"))
+    return written(lifted.unionByName(fresh), "labels")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptward.llm.common import text_or_empty, written
-from promptward.llm.components import components
+from promptward.llm.components import components, merged
 from promptward.llm.repeats import squeezed, unsqueezed
 from promptward.llm.windows import kmer_hashes, mix, word_hashes, word_spans
 
@@ -48,7 +48,7 @@ DAMPING = 0.25
 VARIATES = 1 << 14
 #: Pivots of a bucket in the round after the first, which has one; each later one takes
 #: ``GROWTH`` times as many, so the number of rounds is that of a bucket's digits.
-MORE_PIVOTS, GROWTH = 16, 16
+MORE_PIVOTS, GROWTH = 32, 32
 #: Shingles of the members and of the pivots that meet in one cell, about.
 BLOCK = 1 << 18
 #: Rows of a cell that go on together.
@@ -455,12 +455,14 @@ def near_duplicates(
         seen.select(F.col("b").alias("key"), F.col("a").alias("pivot"), "similarity")
     )
     near, most = written(met.join(either, ["key", "pivot"]).select("bucket", "key", "pivot", "similarity"), "near"), MORE_PIVOTS
+    linked = lambda rows: _ordered(rows.filter(F.col("similarity") >= bound))
+    labels = components(linked(near))
     while True:
-        labels = components(_ordered(near.filter(F.col("similarity") >= bound)))
         pivots = written(_first(_open(members, used, near, labels, bound), most), "pivots")
         if not pivots.limit(1).count():
             break
-        near = near.unionByName(written(_crossed(members, used, pivots, labels, texts, weights, bound), "near"))
+        found = written(_crossed(members, used, pivots, labels, texts, weights, bound), "near")
+        labels, near = merged(labels, linked(found)), near.unionByName(found)
         used = used.unionByName(pivots)
         most *= GROWTH
 
