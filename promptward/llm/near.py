@@ -9,13 +9,12 @@ probability of their weighted Jaccard similarity.  Bands of samples put similar
 texts into common buckets; members of a bucket are compared with its pivots, and
 every reported link is verified with the exact weighted Jaccard similarity.
 
-Pivots stand in for all pairs.  They are the members that share most buckets with
-others, so the original of a group of copies comes first; every member meets the most
-central pivot of its buckets before any other, which joins most of a group in one step.  A member that no pivot
-is similar to becomes a pivot of a later round, and so does one that a foreign
-pivot nearly reaches; 1 - similarity is a metric, so beyond that distance no link
-between two classes of a bucket can be missed.  Rounds go on until no bucket has such a
-member: there is no cap on partners.
+Pivots stand in for all pairs.  Every member meets the most central one of each of its buckets, that is the one
+that shares most buckets with others, so the original of a group of copies comes first.  1 - similarity
+is a metric, so two members have no unseen link where a pivot covers one of them and is far from the other.
+Members for which that does not hold become pivots of later rounds, which meet all members of their bucket in
+cells: a block of members, a block of pivots, a text once in each.  Rounds go on until
+no bucket has such a member: there is no cap on partners.
 """
 
 from __future__ import annotations
