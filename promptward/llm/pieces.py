@@ -52,6 +52,13 @@ class _Remembered(dict):
             self[key] = value
         return value
 
+    def add_all(self, pairs) -> None:
+        """Remember keys, as ``update`` takes them, with the values that the function has for them."""
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self.update(pairs)
+
 
 class PieceCodec:
     """Encoder and decoder of one model file."""

@@ -317,6 +317,34 @@ def test_word_encoder():
         assert np.frombuffer(tool.encode(text), "<u4").tolist() == want
 
 
+def test_new_words_are_encoded_together():
+    class Counted:
+        def __init__(self, tool):
+            self.tool, self.calls = tool, []
+
+        def encode(self, *args, **kw):
+            self.calls.append("one")
+            return self.tool.encode(*args, **kw)
+
+        def encode_batch_fast(self, *args, **kw):
+            self.calls.append("many")
+            return self.tool.encode_batch_fast(*args, **kw)
+
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCÀÉÞàéßÿ"
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(400)]
+    texts = [f"({words[i]}-{words[i + 1]}) {i} x×{words[i]}÷ <{words[i]}>! 7{words[i]}|" for i in range(399)]
+    texts += ["", " ", "a", "b" * 200, "e\u0301 É'S Σ", "<|endoftext|>x <|"]
+    for limit in (50, 200_000):
+        tool = WordEncoder(WORDS)
+        plain, tool.tool, tool.parts.limit = tool.tool, Counted(tool.tool), limit
+        found = [x for i in range(0, len(texts), 150) for x in tool.encode_all(texts[i : i + 150])]
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == want
+        # One by one are the pieces with × and ÷, a long word and those of the last texts.
+        assert tool.tool.calls.count("many") <= 6 and tool.tool.calls.count("one") <= 399 + 10
+
+
 def test_token_files(odd, empty, tmp_path):
     manifest = write_token_files(odd, str(tmp_path / "t"), WORDS, 2, file_bytes=2000)
     rows = sorted(read_token_files(manifest).collect(), key=lambda r: r.start)
