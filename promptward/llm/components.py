@@ -19,21 +19,16 @@ def components(links: DataFrame) -> DataFrame:
     both = written(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
     labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
     while True:
-        around = (
-            both.join(labels.select(F.col("node").alias("other"), "label"), "other")
-            .groupBy("node")
-            .agg(F.min("label").alias("seen"))
-        )
-        lower = labels.join(around, "node").select("node", F.least("label", "seen").alias("label"))
-        lower = written(lower, "labels")
+        around = both.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label", F.lit(None).alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        least = around.unionByName(own).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        lower = written(least, "labels")
         up = lower.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        jumped = written(
-            lower.join(up, "label", "left").select("node", F.least("label", F.coalesce("top", "label")).alias("label")), "labels"
-        )
-        old = labels.select("node", F.col("label").alias("old"))
-        if not jumped.join(old, "node").filter("label != old").limit(1).count():
-            return jumped
-        labels = jumped
+        jumped = lower.join(up, "label", "left").select("node", F.least("label", F.coalesce("top", "label")).alias("label"), "old")
+        jumped = written(jumped, "labels")
+        if jumped.filter("label != old").isEmpty():
+            return jumped.select("node", "label")
+        labels = jumped.select("node", "label")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -41,7 +36,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
     ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
     ends = written(ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).filter("a != b").distinct(), "links")
-    if not ends.limit(1).count():
+    if ends.isEmpty():
         return labels
     tops = components(ends).select(F.col("node").alias("label"), F.col("label").alias("top"))
     lifted = labels.join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label"))

@@ -392,7 +392,7 @@ def _open(members: DataFrame, used: DataFrame, near: DataFrame, labels: DataFram
     both are covered, one of the two has to become a pivot, and that is the one of the smaller class.
     """
     sizes = labels.groupBy("label").agg(F.count("*").alias("class_size"))
-    named = labels.join(sizes, "label").select("node", "label", "class_size")
+    named = written(labels.join(sizes, "label").select("node", "label", "class_size"), "sized")
 
     def classed(rows: DataFrame, key: str, label: str, size: str) -> DataFrame:
         of = named.select(F.col("node").alias(key), F.col("label").alias("_label"), F.col("class_size").alias("_size"))
@@ -458,7 +458,7 @@ def near_duplicates(
     labels = components(linked(near))
     while True:
         pivots = written(_first(_open(members, used, near, labels, bound), most), "pivots")
-        if not pivots.limit(1).count():
+        if pivots.isEmpty():
             break
         found = written(_crossed(members, used, pivots, labels, texts, weights, bound), "near")
         labels, near = merged(labels, linked(found)), near.unionByName(found)
@@ -471,6 +471,7 @@ def near_duplicates(
         .select("doc", F.coalesce("label", "key").alias("label")),
         "labelled",
     )
+    weights.destroy()  # all that needs it is written
     classes = labelled.groupBy("label").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_size"))
     return labelled.join(classes.hint("merge"), "label").select(
         F.col("doc").alias(id_col), "class_id", "class_size"

@@ -97,3 +97,19 @@ def test_merged_labels_are_those_of_all_links(spark):
         labels = merged(labels, table(part))
     nodes = {x for pair in links for x in pair}
     assert {r.node: r.label for r in labels.select("node", F.col("label")).collect()} == _classes(links, nodes)
+
+
+def test_a_round_of_components_has_two_joins(spark, monkeypatch):
+    from promptward.llm import components as module
+
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
+    links = spark.createDataFrame(chain, "a LONG, b LONG")
+    joins, names = [], []
+    join, write = type(links).join, module.written
+    monkeypatch.setattr(type(links), "join", lambda *args, **kw: joins.append(1) or join(*args, **kw))
+    monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or write(df, name))
+    labels = module.components(links)
+    assert labels.columns == ["node", "label"]
+    assert {r.node: r.label for r in labels.collect()} == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
+    rounds = (names.count("labels") - 1) // 2
+    assert rounds > 2 and len(joins) == 2 * rounds
