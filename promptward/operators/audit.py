@@ -72,13 +72,17 @@ def stamped_audit(
     latency: Column | str = "latency_ms",
     model: Column | str | None = None,
 ) -> DataFrame:
-    """Audit rows of ``prompt_parts`` joined with the requests that sent the prompts."""
+    """Audit rows of ``prompt_parts`` joined with the requests that sent the prompts.
+
+    Parts whose texts are stored already have a ``text_key`` for them, which goes with the row.
+    """
     session, timestamp, latency = _column(session), _column(timestamp), _column(latency)
+    apart = "text_key" in parts.columns
     return parts.select(
         audit_id(session, timestamp, F.col("_hash")).alias("id"),
         timestamp.alias("timestamp"),
         F.col("_hash").alias("prompt_hash"),
-        F.col("_shown").alias("masked_prompt"),
+        (F.lit(None).cast("string") if apart else F.col("_shown")).alias("masked_prompt"),
         "risk_level",
         "attack_type",
         latency.cast("int").alias("latency"),
@@ -87,6 +91,7 @@ def stamped_audit(
         "triggered_rules",
         F.col("_score").alias("similarity_score"),
         session.alias("session_id"),
+        *(["text_key"] if apart else []),
     )
 
 

@@ -26,12 +26,11 @@ from promptward.plans import planted as pl
 from promptward.rules import SEEDS
 from promptward.sources.folders import new_run
 from promptward.sources.tables import (
-    AUDIT_SCHEMA,
     CONVERSATIONS_SCHEMA,
     DOCUMENTS_SCHEMA,
     EVENTS_SCHEMA,
+    read_audit_stream,
     read_stored_table_stream,
-    read_table_stream,
 )
 from promptward.streaming import jobs as sj
 
@@ -568,9 +567,7 @@ def stream_dedup(spark, sf_dir):
 
 def _stored_audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored audit, read as a stream of files."""
-    path, _ = new_run(spark, "audit")
-    pl.write_audit(pl.planted_audit(spark, sf_dir), path)
-    return read_table_stream(spark, path, AUDIT_SCHEMA)
+    return read_audit_stream(spark, pl.store_audit(spark, sf_dir))
 
 
 def _upserted(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptward.functions.scalars import utc_day
@@ -55,6 +58,10 @@ def read_conversations_stream(spark: SparkSession, path: str, glob: str | None =
     return read_table_stream(spark, path, CONVERSATIONS_SCHEMA, glob, max_files)
 
 
+#: Digests of an audit row, and the column of the key of a text that is stored beside the rows.
+DIGESTS = ("id", "prompt_hash")
+TEXT_KEY = "text_key"
+
 #: Files that a day of audit rows is split into, and rows a file holds at most.
 DAY_BUCKETS = 8
 FILE_ROWS = 5_000_000
@@ -67,11 +74,15 @@ def write_audit(
 
     Rows are dealt out by day and a bucket of their id first, so that a day has
     ``day_buckets`` files at most per write and a busy day is spread over as many tasks.
+    Digests are dealt out as bytes.  Rows of ``store_texts`` bring the key of their text only.
     """
     days = audit.withColumn("dt", utc_day(F.col("timestamp")))
-    bucket = F.pmod(F.xxhash64("id"), F.lit(day_buckets))
+    bucket = F.pmod(F.xxhash64("id"), F.lit(day_buckets)).cast("int")
+    packed = days.withColumns({"_bucket": bucket} | _digests_as_bytes())
     (
-        days.repartition("dt", bucket)
+        packed.repartition("dt", "_bucket")
+        .withColumns({c: F.coalesce(F.lower(F.hex(f"_{c}")), c) for c in DIGESTS})
+        .select(*days.columns)
         .write.mode(mode)
         .option("compression", "zstd")
         .option("maxRecordsPerFile", file_rows)
@@ -80,8 +91,55 @@ def write_audit(
     )
 
 
+def _digests_as_bytes() -> dict[str, Column]:
+    """Every digest as bytes, and as text only where its bytes do not give it back."""
+    out = {}
+    for c in DIGESTS:
+        whole = F.lower(F.hex(F.unhex(c))) == F.col(c)
+        out |= {f"_{c}": F.when(whole, F.unhex(c)), c: F.when(~F.coalesce(whole, F.lit(False)), F.col(c))}
+    return out
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AUDIT_SCHEMA + ", dt DATE").parquet(path)
+    rows = spark.read.schema(f"{AUDIT_SCHEMA}, {TEXT_KEY} BINARY, dt DATE").parquet(path)
+    return _with_texts(rows, path)
+
+
+def read_audit_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """A stored audit as a stream of its files; texts are those stored when the stream is made."""
+    rows = read_table_stream(spark, path, f"{AUDIT_SCHEMA}, {TEXT_KEY} BINARY", max_files=max_files)
+    return _with_texts(rows, path)
+
+
+def _texts_folder(path: str) -> str:
+    return f"{path.rstrip('/')}-texts"
+
+
+def store_texts(parts: DataFrame, path: str, text: str) -> DataFrame:
+    """Store ``parts``, one row per prompt, beside the audit at ``path``; they come back with the key of their ``text`` for it.
+
+    A prompt that many rows of the audit repeat is so stored once, and no shuffle carries it.
+    ``read_audit`` gives rows with that key their text.  The key is of the text alone, so writes may repeat it.
+    """
+    folder = f"{_texts_folder(path)}/{uuid.uuid4().hex}"
+    key = F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+    keyed = parts.withColumn(TEXT_KEY, key).withColumnRenamed(text, "masked_prompt")
+    keyed.write.option("compression", "zstd").parquet(folder)
+    return parts.sparkSession.read.schema(keyed.schema).parquet(folder).drop("masked_prompt")
+
+
+def _with_texts(rows: DataFrame, path: str) -> DataFrame:
+    """Rows with the texts of their keys.  Keys are distinct, so a query without ``masked_prompt`` is planned without the join."""
+    reader = rows.sparkSession.read.schema(f"{TEXT_KEY} BINARY, masked_prompt STRING")
+    try:
+        texts = reader.option("recursiveFileLookup", True).parquet(_texts_folder(path))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return rows.drop(TEXT_KEY)
+    texts = texts.groupBy(TEXT_KEY).agg(F.first("masked_prompt").alias("_text"))
+    whole = rows.join(texts, TEXT_KEY, "left").withColumn("masked_prompt", F.coalesce("masked_prompt", "_text"))
+    return whole.select(*[c for c in rows.columns if c != TEXT_KEY])
 
 
 def write_report(report: DataFrame, path: str) -> None:
