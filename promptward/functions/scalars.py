@@ -56,6 +56,21 @@ def prompt_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def digest_bytes(digest: Column) -> Column:
+    """The bytes of a digest in lower-case hex, half as long and in the same order; null for any other text."""
+    return F.when(digest_text(F.unhex(digest)) == digest, F.unhex(digest))
+
+
+def other_text(digest: Column) -> Column:
+    """What has no ``digest_bytes``."""
+    return F.when(digest_bytes(digest).isNull(), digest)
+
+
+def digest_text(digest: Column) -> Column:
+    """The lower-case hex of ``digest_bytes``."""
+    return F.lower(F.hex(digest))
+
+
 def risk_rank(level: Column) -> Column:
     """Numeric order of a risk level, 1 (LOW) to 4 (CRITICAL)."""
     return reduce(

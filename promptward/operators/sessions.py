@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promptward.functions.scalars import digest_bytes, digest_text, other_text
+
 ACTIVITY_GAP = "30 minutes"
 ALERT_WINDOW, ALERT_EVERY, ALERT_LIMIT = "1 hour", "10 minutes", 2
 REPEAT_HORIZON = "1 hour"
@@ -62,12 +64,24 @@ def first_in_horizon(audit: DataFrame, horizon: str = REPEAT_HORIZON) -> DataFra
     prompt_hash, horizon_start, timestamp, id, times; of equal times the smallest id counts.  Horizons
     are aligned, not chained from row to row: so the earliest of parts is the earliest of
     all, repeats are combined in each task before the shuffle, and the order of arrival does not matter.
+    Digests are shuffled, and kept in the state, as bytes; ids that are none beside them.
     """
+    digest, packed = F.col("prompt_hash"), digest_bytes(F.col("id"))
+    unpacked = F.struct(F.col("_packed.timestamp"), digest_text(F.col("_packed.id")).alias("id"))
     return (
-        audit.groupBy("prompt_hash", F.window("timestamp", horizon).alias("_window"))
-        .agg(F.min(F.struct("timestamp", "id")).alias("_first"), F.count("*").alias("times"))
+        audit.groupBy(
+            digest_bytes(digest).alias("_digest"),
+            other_text(digest).alias("_other"),
+            F.window("timestamp", horizon).alias("_window"),
+        )
+        .agg(
+            F.min(F.when(packed.isNotNull(), F.struct("timestamp", packed.alias("id")))).alias("_packed"),
+            F.min(F.when(packed.isNull(), F.struct("timestamp", "id"))).alias("_plain"),
+            F.count("*").alias("times"),
+        )
+        .withColumn("_first", F.least(F.when(F.col("_packed").isNotNull(), unpacked), "_plain"))
         .select(
-            "prompt_hash",
+            F.coalesce(digest_text(F.col("_digest")), "_other").alias("prompt_hash"),
             F.col("_window.start").alias("horizon_start"),
             F.col("_first.timestamp").alias("timestamp"),
             F.col("_first.id").alias("id"),

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptward.functions.scalars import utc_day
+from promptward.functions.scalars import digest_bytes, digest_text, other_text, utc_day
 
 CONVERSATIONS_SCHEMA = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
 DOCUMENTS_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
@@ -81,7 +81,7 @@ def write_audit(
     packed = days.withColumns({"_bucket": bucket} | _digests_as_bytes())
     (
         packed.repartition("dt", "_bucket")
-        .withColumns({c: F.coalesce(F.lower(F.hex(f"_{c}")), c) for c in DIGESTS})
+        .withColumns({c: F.coalesce(digest_text(F.col(f"_{c}")), c) for c in DIGESTS})
         .select(*days.columns)
         .write.mode(mode)
         .option("compression", "zstd")
@@ -93,11 +93,7 @@ def write_audit(
 
 def _digests_as_bytes() -> dict[str, Column]:
     """Every digest as bytes, and as text only where its bytes do not give it back."""
-    out = {}
-    for c in DIGESTS:
-        whole = F.lower(F.hex(F.unhex(c))) == F.col(c)
-        out |= {f"_{c}": F.when(whole, F.unhex(c)), c: F.when(~F.coalesce(whole, F.lit(False)), F.col(c))}
-    return out
+    return {f"_{c}": digest_bytes(F.col(c)) for c in DIGESTS} | {c: other_text(F.col(c)) for c in DIGESTS}
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:

@@ -71,6 +71,7 @@ def test_stream_of_a_stored_audit_has_its_texts(spark, tmp_path):
     folder = _tables(spark, tmp_path)
     stream = q._stored_audit_stream(spark, folder)
     jobs.start_parquet(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert all(f.name.endswith(".zstd.parquet") for f in (tmp_path / "out").glob("*.parquet"))
     assert _rows(spark.read.parquet(str(tmp_path / "out"))) == _rows(pl.planted_audit(spark, folder))
 
 
@@ -103,3 +104,28 @@ def test_dealing_out_rows_moves_digests_as_bytes(spark, tmp_path):
     assert rows.filter(F.length("id") == 64).count() == rows.count()
     packed = rows.withColumns(tables._digests_as_bytes())
     assert packed.filter("id IS NOT NULL OR octet_length(_id) <> 32").count() == 0
+
+
+def test_first_rows_of_digests_and_of_other_ids(spark):
+    """The smallest of equal times among ids that are digests and ids that are not; digests travel as bytes."""
+    at = datetime(2024, 1, 1)
+    ids = ["ab" * 32, "aa" * 32, "AA" * 32, "abc", "zz", "00", "0", "", None, "密", "a\n", "0a", "0b0", "9f" * 32]
+    some = [("d" * 64, [0, 1]), ("d" * 64, ids[5:8]), ("D" * 64, ids[2:5]), (None, ids[8:10]), ("", ids[10:]), ("h", [0])]
+    rest = "m", "LOW", "NONE", 1, "m", False, ["r"], None, "s"
+    rows = []
+    for n, (digest, mine) in enumerate(some):
+        for i in mine:
+            rows.append((ids[i] if isinstance(i, int) else i, at.replace(day=n + 1), digest, *rest))
+    audit = spark.createDataFrame(rows + rows[:1], tables.AUDIT_SCHEMA)
+    got = {(r.prompt_hash, r.timestamp): (r.id, r.times) for r in ss.first_in_horizon(audit).collect()}
+    want = {}
+    for r in rows + rows[:1]:
+        first, n = want.get((r[2], r[1]), (r[0], 0))
+        least = None if None in (first, r[0]) else min(first, r[0], key=lambda x: x.encode())
+        want[r[2], r[1]] = (least, n + 1)
+    assert got == want and len(want) == 6
+    plan = _plan(ss.first_in_horizon(audit))
+    keys = plan.split("Exchange hashpartitioning(")[1].split("),")[0]
+    assert not keys.startswith("prompt_hash")
+    before = plan.split("Exchange hashpartitioning(")[1].split("SortAggregate")[1].split("\n")[0]
+    assert "unhex" in before and "struct(timestamp, timestamp" in before
